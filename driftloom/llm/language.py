@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod
 
@@ -110,20 +111,25 @@ def learn(train: DataFrame, most: int = LANGUAGES) -> Model:
     return Model(langs, code, w, -(high + low) / 2, np.maximum((high - low) / 2, 1e-3))
 
 
-def predict(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row: score is the chosen language's share after decoding.
+def tagged(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs with lang_pred, score and ambiguous: score is the chosen language's share after decoding.
 
     A text that is null or has no letter is `und` with score 0; ambiguous says that the score is under `least` or
-    the language undetermined. Ties go to the language first in code-point order. Null ids and repeated rows stay.
+    the language undetermined. Ties go to the language first in code-point order. Null ids and repeated rows stay;
+    input columns named like the new ones are replaced.
     """
+    new = ["lang_pred", "score", "ambiguous"]
+    docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                texts = b.column(1).to_pylist()
+                texts = b.column(at).to_pylist()
                 ok = np.array([bool(t) and bool(m.languages) and _LETTER.search(t) is not None for t in texts], bool)
                 pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if ok.any():
@@ -131,9 +137,15 @@ def predict(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                     p = m.decode(m.margins(x))
                     top = p.argmax(1)
                     pred[ok], score[ok] = np.array(m.languages, object)[top], p[np.arange(len(top)), top]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array((score < least) | (pred == "und"))], names=["doc_id", "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array((score < least) | (pred == "und"))], names=[*names, *new])
+
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType())))])
+    return docs.mapInArrow(run, kind)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+def predict(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) of every row."""
+    return tagged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, least).drop("text")
 
 
 def training(docs: DataFrame) -> DataFrame:

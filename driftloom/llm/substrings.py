@@ -11,6 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buckets_for, runs, settle, text_bytes, words
 
@@ -317,15 +318,15 @@ def marked(docs: DataFrame, n: int = 35) -> DataFrame:
     return keyed.join(found, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_key", "row_key")
 
 
-def dedup(docs: DataFrame, n: int = 35, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, text]) of every row: words in windows that occur elsewhere are removed.
+def dedup(docs: DataFrame, n: int = 35) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row: words in windows that occur elsewhere are removed.
 
     A window is n consecutive words of one document; it is repeated if its word sequence also starts anywhere else,
     the same document included, judged on the input. kept_sha256 is of the kept words joined by one space. Texts that
     are null or empty have 0 words and the hash of the empty string; texts of under n words lose nothing. Rows equal
     in doc_id and text count as two places and lose all they share. An empty table gives no rows.
     """
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batches):
         for b in batches:
@@ -340,13 +341,34 @@ def dedup(docs: DataFrame, n: int = 35, keep_text: bool = False) -> DataFrame:
                 else:
                     kept = ws
                 joined = b" ".join(kept)
-                # a text that loses nothing stays as it is
-                rows.append((doc, len(ws), gone, hashlib.sha256(joined).hexdigest(), text if not gone else joined)[: 4 + keep_text])
+                rows.append((doc, len(ws), gone, hashlib.sha256(joined).hexdigest()))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                if keep_text:
-                    cols[4] = cols[4].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + keep_text])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n).select("doc_id", "text", "at").mapInArrow(run, kind)
+
+
+def trimmed(docs: DataFrame, n: int = 35) -> DataFrame:
+    """docs with n_words and n_removed; where words go, text is the kept words joined by one space. Every row stays."""
+    new = ["n_words", "n_removed"]
+    docs = marked(docs.drop(*new), n)
+    names = docs.drop("at").columns
+    spot, kept_at = docs.columns.index("at"), names.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                texts, total, gone = [], [], []
+                for text, at in zip(b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), b.column(spot).to_pylist()):
+                    ws = words(text)
+                    cover = covered(len(ws), at, n)
+                    total.append(len(ws)), gone.append(int(cover.sum()))
+                    texts.append(text if not gone[-1] else b" ".join([w for w, c in zip(ws, cover.tolist()) if not c]))
+                cols = [b.column(b.schema.get_field_index(c)) for c in names]
+                cols[kept_at] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, *new])
+
+    kind = T.StructType([*docs.drop("at").schema.fields, *(T.StructField(c, T.LongType()) for c in new)])
+    return docs.mapInArrow(run, kind)
