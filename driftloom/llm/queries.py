@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, quality, rules, substrings, vectors
+from . import chat, jaccard, language, lm, mixing, packing, quality, rules, substrings, vectors
 from .common import crc_mod
 
 #: Name of the tokenizer's file; its place comes from the installed package.
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weigh(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
 
@@ -40,6 +44,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path=public_tokenizers.path(TOKENIZER), limit=2048)
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -58,9 +66,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_model": op3_language_model,
     "op4_vector_links": op4_vector_links,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quote_links": op7_quote_links,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
