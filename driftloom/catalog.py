@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "history_fds"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
