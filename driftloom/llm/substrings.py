@@ -186,7 +186,7 @@ def _hit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]], buckets: int) -> DataFrame:
-    """(doc_id, row_key, at): starts of windows that occur elsewhere, as packed positions, in one or more rows a document.
+    """(doc_id, row_key, at): starts of windows that occur elsewhere, as packed positions, one row a document.
 
     Windows that the sketch counts once are unique for certain. Of the others, a task finds the repeats among its own
     rows itself and sends each distinct window once, with the place of a window that it saw once; buckets of hashes
@@ -212,7 +212,9 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
             size = np.diff(np.append(at, len(sa)))
             one, many = order[at[size == 1]], order[at[size > 1]]
             own = order[np.repeat(size > 1, size)]  # repeats within this task
-            yield from _by_doc(doc, key, null, pos, own, buckets)
+            here = _places(doc, key, null, pos, own, buckets)
+            if here:
+                yield _batch(here)
             for chosen, kind in ((one, 1), (many, 2)):
                 to = (a[chosen] >> np.uint64(40)).astype(np.int64) * buckets >> 24
                 cut = np.searchsorted(to, np.arange(buckets + 1))  # chosen is in hash order
@@ -222,7 +224,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
                     parts_ = [a[x].astype("<u8").tobytes(), b[x].astype("<u4").tobytes()]
                     if kind == 1:
                         parts_ += [doc[x].astype("<i8").tobytes(), key[x].astype("<i8").tobytes(), pos[x].astype("<u4").tobytes(), null[x].astype(np.uint8).tobytes()]
-                    rows.append((int(k), kind, None, None, zstandard.compress(b"".join(parts_), 1)))
+                    rows.append((int(k), kind, zstandard.compress(b"".join(parts_), 1)))
                 if rows:
                     yield _batch(rows)
 
@@ -244,9 +246,10 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
 
     def confirm(t: pa.Table) -> pa.Table:
         mine, rows = [], []
-        for kind, doc, key, data in zip(*(t.column(c).to_pylist() for c in ("kind", "doc_id", "row_key", "data"))):
+        shard = t.column("bucket")[0].as_py()
+        for kind, data in zip(*(t.column(c).to_pylist() for c in ("kind", "data"))):
             if kind == 0:
-                rows.append((doc, key, data))
+                rows.append((shard, 0, data))
                 continue
             raw = zstandard.decompress(data)
             m = len(raw) // (12 if kind == 2 else 33)
@@ -263,12 +266,12 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
             at = np.flatnonzero(first)
             total = np.add.reduceat(kind[order].astype(np.int64), at)
             again = order[np.repeat(total > 1, np.diff(np.append(at, len(sa)))) & (kind[order] == 1)]
-            for batch in _by_doc(doc, key, null.astype(bool), pos, again, 1):
-                rows += list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "data"))))
-        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "row_key": pa.array([r[1] for r in rows], pa.int64()), "at": pa.array([r[2] for r in rows], pa.binary())})
+            rows += _places(doc, key, null, pos, again, buckets)
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
-    sent = docs.select(F.col("doc_id").cast("long"), _row_key(), "text").mapInArrow(local, "bucket int, kind int, doc_id long, row_key long, data binary")
-    return sent.groupBy("bucket").applyInArrow(confirm, "doc_id long, row_key long, at binary")
+    sent = docs.select(F.col("doc_id").cast("long"), _row_key(), "text").mapInArrow(local, "bucket int, kind int, data binary")
+    places = sent.groupBy("bucket").applyInArrow(confirm, "shard int, data binary")
+    return places.groupBy("shard").applyInArrow(_merged, "doc_id long, row_key long, at binary")
 
 
 def _row_key():
@@ -276,43 +279,57 @@ def _row_key():
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "kind", "doc_id", "row_key", "data"])
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "kind", "data"])
 
 
-def _by_doc(doc, key, null, pos, chosen, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, 0, doc_id, row_key, packed positions) for the chosen entries, one a document."""
+def _places(doc, key, null, pos, chosen, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows (shard, 0, places) for the chosen entries: a document's places go to the shard of its key, many in a row."""
     if not len(chosen):
-        return
-    order = chosen[np.lexsort((pos[chosen], doc[chosen], key[chosen]))]
-    k, d = key[order], doc[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    cuts = np.append(np.flatnonzero(first), len(order))
-    rows = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        i = order[lo]
-        p = np.unique(pos[order[lo:hi]])
-        rows.append((int(np.uint64(key[i]) % np.uint64(buckets)), 0, None if null[i] else int(doc[i]), int(key[i]), packed(p)))
-    for lo in range(0, len(rows), 20_000):
-        yield _batch(rows[lo : lo + 20_000])
-
-
-def covered(n_words: int, at: list[bytes] | None, n: int) -> np.ndarray:
+        return []
+    shard = key[chosen].astype(np.uint64) % np.uint64(buckets)
+    order = np.lexsort((pos[chosen], doc[chosen], key[chosen], shard))
+    o, shard = chosen[order], shard[order].astype(np.int64)
+    cut = np.searchsorted(shard, np.arange(buckets + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        x = o[cut[k] : cut[k + 1]]
+        out.append((k, 0, zstandard.compress(doc[x].astype("<i8").tobytes() + key[x].astype("<i8").tobytes() + pos[x].astype("<u4").tobytes() + null[x].astype(np.uint8).tobytes(), 1)))
+    return out
+
+
+def _read_places(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    m = len(raw) // 21
+    return [np.frombuffer(raw[lo * m : hi * m], kind) for lo, hi, kind in ((0, 8, "<i8"), (8, 16, "<i8"), (16, 20, "<u4"), (20, 21, "u1"))]
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """(doc_id, row_key, at): one row a document, from the places of a shard."""
+    doc, key, pos, null = (np.concatenate(x) for x in zip(*map(_read_places, t.column("data").to_pylist())))
+    order = np.lexsort((pos, null, doc, key))
+    doc, key, pos, null = doc[order], key[order], pos[order], null[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])
+    at = np.flatnonzero(first)
+    packs = [packed(np.unique(pos[lo:hi])) for lo, hi in zip(at, np.append(at[1:], len(key)))]
+    return pa.table({"doc_id": pa.array(doc[at], pa.int64(), mask=null[at].astype(bool)), "row_key": pa.array(key[at]), "at": pa.array(packs, pa.binary())})
+
+
+def covered(n_words: int, at: bytes | None, n: int) -> np.ndarray:
     """Which words lie in a window that starts at one of the packed positions."""
     edge = np.zeros(n_words + 1, np.int64)
-    for x in at or []:
-        np.add.at(edge, (p := unpacked(x)), 1)
-        np.add.at(edge, np.minimum(p + n, n_words), -1)
+    p = unpacked(at or b"")
+    np.add.at(edge, p, 1)
+    np.add.at(edge, np.minimum(p + n, n_words), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def marked(docs: DataFrame, n: int = 35) -> DataFrame:
-    """docs with `at`, a list of packed starts of the repeated windows of n words; every row stays."""
+    """docs with `at`, the packed starts of the repeated windows of n words; every row stays."""
     size = text_bytes(docs)
     bits = int(np.clip(np.ceil(np.log2(max(size / 6 * 2, 1))), LEAST_BITS, MOST_BITS))
     found = marks(docs, n, bits, sketch(docs, n, bits), buckets_for(docs.sparkSession, size, 24 << 20))
-    found = found.groupBy("doc_id", "row_key").agg(F.collect_list("at").alias("at"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "at")
     keyed = docs.drop("at").withColumn("row_key", _row_key())
     return keyed.join(found, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_key", "row_key")
