@@ -72,6 +72,12 @@ def release(df: DataFrame) -> None:
     _LIVE.remove((spark, path))
 
 
+def few_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most: whole texts are long, and a task holds several batches at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows stay within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, settle, small, streamed_groups
+from .common import components, few_rows, mix, settle, small, streamed_groups
 from .substrings import Hasher, _slices, rolled
 
 #: Trees of the forest, the longest prefix of a tree's signature, and the share of links at the threshold to be found.
@@ -178,6 +178,7 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     Texts without a word link to nothing and are their own class. A row with a null id goes under a hash of its text.
     Rows that share an id are one class if their texts are. An empty table gives no rows; other columns are ignored.
     """
+    few_rows(docs.sparkSession)
     k = depth(similarity)
     rows = settle(sketched(docs, n, k).withColumn("sid", F.coalesce("doc_id", "row_key")), "forest")
     live = rows.filter("n_grams > 0")

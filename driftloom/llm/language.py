@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import crc_mod, few_rows
 
 #: Hash slots of n-grams of one, two and three bytes of lower-cased text.
 SLOTS = 1 << 13
@@ -120,6 +120,7 @@ def tagged(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """
     new = ["lang_pred", "score", "ambiguous"]
     docs = docs.drop(*new)
+    few_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")

@@ -2,51 +2,88 @@
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import few_rows, settle
 
-#: Words whose ids a worker keeps; beyond it the cache starts anew, so memory is bounded.
-CACHE_WORDS = 300_000
+#: Entries of each cache of a worker; beyond it the older half goes, so memory is bounded.
+CACHE = 150_000
 _coders: dict[str, "Coder"] = {}
+#: How the tokenizer of word_bpe_49k.json divides lower-case text (its own pattern, fixed values, for the letters below).
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
+#: Characters whose lower case and normal form are plain: printable ASCII and Latin letters with marks.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ňŊ-ſ]+")
+_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level models write each byte as a character: itself if it prints, else the next from U+0100.
+BYTE_CHARS = dict(zip([b for b in range(256) if b not in _KEPT], map(chr, range(256, 512)))) | {b: chr(b) for b in _KEPT}
+
+
+class Recent(dict):
+    """A dictionary that forgets what was not asked for lately: two generations, of which the older is dropped."""
+
+    def __init__(self, most: int, make):
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, k):
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        v = self.old.pop(k, None)
+        self[k] = v = self.make(k) if v is None else v
+        return v
 
 
 class Coder:
     """Token ids of whole texts as packed 32-bit numbers.
 
     The tokenizer's pieces never cross white space (its splitter drops it), so a text's ids are those of its words in
-    turn, and each distinct word is encoded once.
+    turn. Words of PLAIN characters are divided into pieces here, and each piece is encoded by the tokenizer's model, if
+    that agrees with the whole tokenizer on a probe text; other words go through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_str(spec), {}
+        self.tok = Tokenizer.from_str(spec)
+        self.pieces, self.words = Recent(CACHE, self.piece), Recent(CACHE, self.word)
+        self.divides = False
+        plain = [c for c in map(chr, range(33, 0x180)) if PLAIN.fullmatch(c)]
+        probe = "Don't we'LL 3x42 #a_b! (see) I'm \"x's\" re's A1b2 'd ÉCOLE's Straße, naïve; œuvre " + " ".join(plain) + " " + "".join(plain) + " " + "-".join(plain)
+        whole = [self.word(w) for w in probe.encode().split()]
+        self.divides = True
+        self.divides = whole == [self.word(w) for w in probe.encode().split()]
+        self.words.clear()
+
+    def piece(self, x: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize("".join([BYTE_CHARS[b] for b in x.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, w: bytes) -> bytes:
+        if self.divides and b"<|" not in w:  # special tokens have that form
+            s = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(s):
+                return b"".join([self.pieces[x] for x in PIECES.findall(s.lower())])
+        ids = self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None, end: bytes) -> bytes:
-        ws = text.split() if text else []
-        seen = self.seen
-        new = [w for w in set(ws) if w not in seen]
-        if new:
-            if len(seen) > CACHE_WORDS:
-                seen.clear()
-                new = list(set(ws))
-            for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([seen[w] for w in ws]) + end
+        return b"".join(map(self.words.__getitem__, text.split() if text else ())) + end
 
 
 def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of docs; spec is a tokenizer's JSON text (a few MB)."""
     spark = docs.sparkSession
+    few_rows(spark)
     shared = spark.sparkContext.broadcast(spec)
     end = int(end_id).to_bytes(4, "little")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -58,7 +95,7 @@ def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
         coder = _coders[key]
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1).cast(pa.binary()))):
                 ids = coder.encode(text, end)
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]

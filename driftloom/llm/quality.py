@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, few_rows
 
 #: Labelled rows of each class that the dictionaries are built from and that calibrate, and bytes used of each text.
 DICTIONARY_DOCS, CALIBRATION_DOCS, TEXT_BYTES = 1500, 1500, 1 << 14
@@ -120,6 +120,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
 
     Equal texts score alike; ids may be null or repeated; an empty table gives no rows.
     """
+    few_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):

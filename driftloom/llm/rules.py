@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import few_rows, settle, small
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -122,6 +122,7 @@ def weigh(docs: DataFrame, least: float = 0.5) -> DataFrame:
     are read whole and once; vote patterns (3^9 at most, whatever the corpus) are counted on the executors and the
     fit sees only those counts. Null and empty texts have counts 0 and fail; null ids stay; an empty table gives no rows.
     """
+    few_rows(docs.sparkSession)
     fields = [pa.field("doc_id", pa.int64()), *[pa.field(c, pa.int64()) for c in COUNTS], pa.field("pattern", pa.int32())]
 
     def run(batches):

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, runs, settle, text_bytes, words
+from .common import buckets_for, few_rows, runs, settle, text_bytes, words
 
 #: Bits of a sketch row's width at least and at most (2 rows of 2**28 one-bit results: 64 MB broadcast, whatever the corpus).
 LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
 #: Shards of each row while the partial sketches are merged.
 SHARDS = 64
 #: Windows that a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class Hasher:
@@ -115,6 +115,7 @@ def _slices(batches: Iterator[pa.RecordBatch], text_at: int):
                 lo, held, n = i + 1, [], 0
         if held:
             yield b.slice(lo, len(held)), held
+    pa.default_memory_pool().release_unused()
 
 
 def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
@@ -327,6 +328,7 @@ def covered(n_words: int, at: bytes | None, n: int) -> np.ndarray:
 
 def marked(docs: DataFrame, n: int = 35) -> DataFrame:
     """docs with `at`, the packed starts of the repeated windows of n words; every row stays."""
+    few_rows(docs.sparkSession)
     size = text_bytes(docs)
     bits = int(np.clip(np.ceil(np.log2(max(size / 6 * 2, 1))), LEAST_BITS, MOST_BITS))
     found = marks(docs, n, bits, sketch(docs, n, bits), buckets_for(docs.sparkSession, size, 24 << 20))
