@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import importance, micros
 
-ARCHIVE = T.StructType.fromDDL(
+ARCHIVE = (
     "id LONG, full_text STRING, created_at STRING, retweet_count LONG, favorite_count LONG, in_reply_to_status_id LONG, "
     "in_reply_to_screen_name STRING, screen_name STRING, username STRING, datetime TIMESTAMP"
 )
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "timestamp STRING, model_name STRING, model_params MAP<STRING, STRING>, config MAP<STRING, STRING>, "
     "scores STRUCT<field_density_score: DOUBLE, kl_divergence: DOUBLE, score_std: DOUBLE, frames_evaluated: LONG, total_test_posts: LONG>, "
     "runtime_seconds DOUBLE, test_weeks INT, train_size LONG, test_size LONG"
 )
 
 
-def parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A Parquet file or folder, local or in any store Spark reads; credentials come from the session only."""
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV with a header whose text may hold line breaks and doubled quotes."""
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
