@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, few_rows, runs, settle, text_bytes, words
+from .common import buckets_for, few_rows, runs, text_bytes, tidy, words
 
 #: Bits of a sketch row's width at least and at most (2 rows of 2**28 one-bit results: 64 MB broadcast, whatever the corpus).
 LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
@@ -86,7 +86,7 @@ def windows(ws_of: list[list[bytes]], n: int, hasher: Hasher) -> tuple[np.ndarra
 
 def packed(sorted_cells: np.ndarray) -> bytes:
     """Gaps of increasing numbers, one byte for each 254 or less and one more for each 255 in them."""
-    gaps = np.diff(sorted_cells.astype(np.int64), prepend=0)
+    gaps = np.diff(sorted_cells.astype(np.int32), prepend=np.int32(0))
     q = gaps // 255
     out = np.full(int(q.sum()) + len(gaps), 255, np.uint8)
     out[np.cumsum(q + 1) - 1] = gaps % 255
@@ -99,7 +99,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def cells(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text_at: int):
@@ -115,7 +115,7 @@ def _slices(batches: Iterator[pa.RecordBatch], text_at: int):
                 lo, held, n = i + 1, [], 0
         if held:
             yield b.slice(lo, len(held)), held
-    pa.default_memory_pool().release_unused()
+    tidy()
 
 
 def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
@@ -127,6 +127,8 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
     each = (1 << bits) // SHARDS
 
     def partial(batches):
+        _open.clear()
+        tidy()
         hasher, held, total = Hasher(), [], 0
 
         def out():
@@ -153,6 +155,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
                 held, total = [], 0
         if held:
             yield out()
+        tidy()
 
     def merge(t: pa.Table) -> pa.Table:
         count = np.zeros(each, np.uint8)
@@ -239,13 +242,15 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
             null = np.array(ids.is_null().to_numpy(zero_copy_only=False))
             held.append((a, b, ids.fill_null(0).to_numpy()[d], keys[d], p, null[d]))
             total += len(a)
-            if total > HELD:
+            if total > HELD // 2:
                 yield from out()
                 held, total = [], 0
         if total:
             yield from out()
+        tidy()
 
     def confirm(t: pa.Table) -> pa.Table:
+        tidy()
         mine, rows = [], []
         shard = t.column("bucket")[0].as_py()
         for kind, data in zip(*(t.column(c).to_pylist() for c in ("kind", "data"))):
