@@ -16,6 +16,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def cell() -> Column:
+    """The first 36 bits of the MD5 of id and text: a hash that other engines have too."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text").cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
 def ranked(df: DataFrame, by: Column) -> DataFrame:
     """df with `rank` from 0 in the order of `by`, without gathering the rows in one task.
 
@@ -63,11 +69,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     made = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*made)
     spark = docs.sparkSession
-    # The unsigned hash's first 36 bits; text is read once here and once for the result.
-    sized = docs.select("source", word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS).alias("cell"))
+    # text is read once here and once for the result
+    sized = docs.select("source", word_count(F.col("text")).alias("size"), cell().alias("cell"))
     slim = settle(sized, "sizes")
     plan = budgets(slim, weights, share, ceiling)
-    out = docs.withColumns({"size": word_count(F.col("text")), "_cell": F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)})
+    out = docs.withColumns({"size": word_count(F.col("text")), "_cell": cell()})
     return _joined(out, plan, spark).withColumn(
         "taken", F.col("size") * (F.col("copies") + F.when(F.col("_cell") < F.col("threshold"), 1).otherwise(0))
     ).drop("copies", "threshold", "_cell")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, lm, mixing, packing, quality, rules, substrings, vectors
+from . import chat, jaccard, language, lm, mixing, oracles, packing, quality, rules, substrings, vectors
 from .common import crc_mod
 
 #: Name of the tokenizer's file; its place comes from the installed package.
@@ -75,4 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": oracles.MIX,
+    "op4_vector_links": oracles.VECTORS,
+    "op5_substring_dedup": oracles.SUBSTRINGS,
+    "op10_jaccard_join": oracles.JACCARD,
+}
