@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, few_rows
+from .common import crc_mod, few_rows, settle
 
-#: Labelled rows of each class that the dictionaries are built from and that calibrate, and bytes used of each text.
-DICTIONARY_DOCS, CALIBRATION_DOCS, TEXT_BYTES = 1500, 1500, 1 << 14
+#: Labelled rows of each class that are learned from (every other one goes to the dictionary, the rest calibrate), and
+#: parts that a dictionary is trained on: of each text, wherever they stand in it, and of each class; both picked by hash.
+SAMPLE_DOCS, DOC_PARTS, DICTIONARY_PARTS = 3000, 4, 4000
 #: Bytes of a dictionary, and of the parts in which whole texts are compressed.
 DICTIONARY_BYTES, PART_BYTES, LEVEL = 1 << 16, 1 << 12, 3
 
@@ -47,7 +49,7 @@ class Sizer:
         text = text or b""
         if not text:
             return [0.0, 1.0, 1.0, 0.0]
-        parts = [text[i : i + PART_BYTES] for i in range(0, len(text), PART_BYTES)]
+        parts = split(text)
         g, b, n = (sum(len(c.compress(p)) for p in parts) for c in self.coders)
         return [(b - g) / (b + g), g / n, n / len(text), np.log1p(len(text))]
 
@@ -65,17 +67,49 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, r
     return beta
 
 
-def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of the samples: trained where the library can, else their first bytes."""
+def split(text: bytes) -> list[bytes]:
+    return [text[i : i + PART_BYTES] for i in range(0, len(text), PART_BYTES)]
+
+
+def dictionary(parts: list[bytes]) -> bytes:
+    """A dictionary of the parts: trained where the library can, else their first bytes."""
     import zstandard as zstd
 
-    parts = [s[i : i + PART_BYTES] for s in samples for i in range(0, len(s), PART_BYTES)]
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except (zstd.ZstdError, ValueError):  # too few or too short samples
         return b"".join(parts)[:DICTIONARY_BYTES]
 
 
+def sampled_parts(texts: DataFrame, quality: int) -> list[bytes]:
+    """Parts of the texts of a class, by least hashes: DOC_PARTS at most of a text, so that long ones don't prevail, and
+    DICTIONARY_PARTS at most in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                marked = sorted((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, k)) >> 1, p) for k, p in enumerate(split(t)))
+                mark, parts = zip(*marked[:DOC_PARTS]) if marked else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(parts, pa.binary())], names=["mark", "part"])
+
+    got = texts.filter((F.col("quality") == quality) & (F.col("role") == 0)).select("doc_id", "text").mapInArrow(run, "mark long, part binary")
+    return [bytes(r[1]) for r in got.orderBy("mark", "part").limit(DICTIONARY_PARTS).collect()]
+
+
+def measured(texts: DataFrame, good: bytes, bad: bytes) -> np.ndarray:
+    """Rows (doc_id, quality, role, features) of the sampled texts, measured whole on the executors."""
+    shared = texts.sparkSession.sparkContext.broadcast((good, bad))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        sizer = Sizer(*shared.value)
+        for b in batches:
+            f = [sizer.features(t) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(f, pa.list_(pa.float64()))], names=["doc_id", "quality", "role", "f"])
+
+    got = texts.select("doc_id", "quality", "role", "text").mapInArrow(run, "doc_id long, quality int, role int, f array<double>").orderBy("doc_id").collect()
+    return np.array([[*r[:3], *r[3]] for r in got], float)
+
+
 def _design(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     z = (f - mean) / scale
     return np.column_stack((np.ones(len(z)), z, z[:, 0] * z[:, 2], z[:, 0] * z[:, 3], z[:, 1] ** 2, z[:, 2] ** 2))
@@ -84,30 +118,28 @@ def _design(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, held_out=lambda c: crc_mod(c, 4) == 2) -> Model:
     """Dictionaries and calibration from a bounded sample of labelled rows that are not held out, picked by a hash of the id.
 
-    Rows with a null id, label or text teach nothing. If a class has no row, every score is the other class's share.
+    The sample has SAMPLE_DOCS rows of each class; of these the whole texts count. The driver sees DICTIONARY_PARTS
+    parts of PART_BYTES of each class, and four numbers a row. Rows with a null id, label or text teach nothing; of rows
+    that share an id the least text counts. If a class has no row, every score is the other class's share.
     """
+    spark = docs.sparkSession
+    few_rows(spark)
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    each = DICTIONARY_DOCS + CALIBRATION_DOCS
-    order = F.xxhash64("doc_id", F.lit(8))
-    got = {}
+    roles = []
     for q in (0, 1):
-        ids = [r[0] for r in known.filter(F.col("quality") == q).orderBy(order).select("doc_id").limit(each).collect()]
-        spark = docs.sparkSession
-        wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
-        # at most 2 * 3000 texts of at most 16 KB reach the driver
-        cut = docs.select("doc_id", "text").join(wanted, "doc_id").filter("text is not null")
-        rows = cut.select("doc_id", F.substring(F.col("text").cast("binary"), 1, TEXT_BYTES).alias("t")).collect()
-        spot = {i: k for k, i in enumerate(ids)}
-        got[q] = [bytes(r[1]) for r in sorted(rows, key=lambda r: (spot[r[0]], bytes(r[1])))]
-    if not got[0] or not got[1]:
-        flat = 4.0 if got[1] else -4.0 if got[0] else 0.0
+        ids = known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").select("doc_id").limit(SAMPLE_DOCS).collect()
+        roles += [(r[0], q, k % 2) for k, r in enumerate(ids)]
+    wanted = F.broadcast(spark.createDataFrame(roles, "doc_id long, quality int, role int"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(wanted, "doc_id")
+    texts = settle(texts.groupBy("doc_id", "quality", "role").agg(F.min("text").alias("text")), "labelled")
+    good, bad = (dictionary(sampled_parts(texts, q)) for q in (1, 0))
+    got = measured(texts, good, bad)
+    of = {q: got[got[:, 1] == q] if len(got) else got for q in (0, 1)}
+    if not len(of[0]) or not len(of[1]):
+        flat = 4.0 if len(of[1]) else -4.0 if len(of[0]) else 0.0
         return Model(b"", b"", np.array([flat] + [0.0] * 8), np.zeros(4), np.ones(4))
-    half = {q: max(1, len(v) // 2) for q, v in got.items()}
-    good, bad = dictionary(got[1][: half[1]]), dictionary(got[0][: half[0]])
-    sizer = Sizer(good, bad)
-    rest = [(t, q) for q in (0, 1) for t in (got[q][half[q] :] or got[q])]
-    f = np.array([sizer.features(t) for t, _ in rest])
-    y = np.array([q for _, q in rest], float)
+    rest = np.concatenate([x[x[:, 2] == 1] if (x[:, 2] == 1).any() else x for x in of.values()])
+    f, y = rest[:, 3:], rest[:, 1]
     # the classes count by their share among all labels that may be learned from
     n = dict(known.groupBy("quality").count().collect())
     w = np.where(y == 1, n.get(1, 1) / max(y.sum(), 1), n.get(0, 1) / max((1 - y).sum(), 1))
