@@ -226,14 +226,22 @@ def _once(sets: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the rows that another of their class stands for; repeats of a kept row go too. Columns stay."""
-    gone = settle(found.filter("not kept").select(F.col("row_key").alias("_gone")).distinct(), "gone")
+    """docs with one row of each class: that with the class's id. Rows without a link all stay; columns stay.
+
+    Of several rows with that id the one with the least hash of id and text stays, and of rows equal in both the least
+    in the order of the columns.
+    """
+    linked = settle(found.filter("n_links > 0").select("row_key", "class_id", "kept"), "linked")
+    firsts = linked.filter("kept").groupBy("class_id").agg(F.min("row_key").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = settle(firsts, "firsts")
+    n = firsts.count()
+    others = linked.filter("kept").join(small(firsts, n), "class_id").filter("row_key <> first").select("row_key")
+    gone = settle(linked.filter("not kept").select("row_key").unionByName(others).select(F.col("row_key").alias("_gone")).distinct(), "gone")
     left = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(small(gone, gone.count()), F.col("_key") == F.col("_gone"), "left_anti")
-    twice = found.filter("kept and n_links > 0").groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("_twice"))
-    twice = settle(twice, "twice")
-    n = twice.count()
     if not n:
         return left.drop("_key")
+    twice = firsts.select(F.col("first").alias("_twice"))
     rest = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_anti").drop("_key")
-    again = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_semi").drop("_key").dropDuplicates()
+    again = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_semi")
+    again = again.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return rest.unionByName(again)
