@@ -73,6 +73,21 @@ def release(df: DataFrame) -> None:
     _LIVE.remove((spark, path))
 
 
+def aside(docs: DataFrame, used: list[str], made: list[str] = []) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but `used` put away in one struct `rest`, where no name can clash; and the names to restore.
+
+    Columns named in `made` are left out: the caller makes them anew.
+    """
+    extra = [c for c in docs.columns if c not in used and c not in made]
+    rest = F.struct(*[F.col(f"`{c}`") for c in extra]) if extra else F.struct(F.lit(0).alias("none"))
+    return docs.select(*used, rest.alias("rest")), [c for c in docs.columns if c not in made]
+
+
+def restored(df: DataFrame, names: list[str], used: list[str], *made: str) -> DataFrame:
+    """The columns `names` that aside() put away or left, in their order, and the made ones."""
+    return df.select(*[F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in names], *made)
+
+
 def few_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of so many rows at most: whole texts are long, and a task holds several batches at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

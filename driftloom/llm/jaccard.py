@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few_rows, mix, settle, small, streamed_groups
+from .common import aside, components, few_rows, mix, restored, settle, small, streamed_groups
 from .substrings import Hasher, _slices, rolled
 
 #: Trees of the forest, the longest prefix of a tree's signature, and the share of links at the threshold to be found.
@@ -237,11 +237,13 @@ def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = firsts.count()
     others = linked.filter("kept").join(small(firsts, n), "class_id").filter("row_key <> first").select("row_key")
     gone = settle(linked.filter("not kept").select("row_key").unionByName(others).select(F.col("row_key").alias("_gone")).distinct(), "gone")
-    left = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(small(gone, gone.count()), F.col("_key") == F.col("_gone"), "left_anti")
+    used = ["doc_id", "text"]
+    packed, names = aside(docs, used)
+    left = packed.withColumn("_key", F.xxhash64(*used)).join(small(gone, gone.count()), F.col("_key") == F.col("_gone"), "left_anti")
     if not n:
-        return left.drop("_key")
+        return restored(left, names, used)
     twice = firsts.select(F.col("first").alias("_twice"))
-    rest = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_anti").drop("_key")
+    rest = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_anti")
     again = left.join(small(twice, n), F.col("_key") == F.col("_twice"), "left_semi")
-    again = again.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return rest.unionByName(again)
+    again = again.groupBy("_key").agg(F.min(F.struct(*used, "rest")).alias("_row")).select("_row.*")
+    return restored(rest, names, used).unionByName(restored(again, names, used))

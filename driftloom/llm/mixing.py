@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, small
+from .common import WORD, aside, restored, settle, small
 
 #: Hash bits that one histogram level resolves, and how many levels there are: 4096 buckets, then 4096 parts of one.
 BITS, LEVELS = 12, 3
@@ -67,16 +67,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     columns named like an output column are replaced.
     """
     made = ["size", "source_size", "target", "taken"]
-    docs = docs.drop(*made)
+    used = ["doc_id", "text", "source"]
+    docs, names = aside(docs, used, made)
     spark = docs.sparkSession
     # text is read once here and once for the result
     sized = docs.select("source", word_count(F.col("text")).alias("size"), cell().alias("cell"))
     slim = settle(sized, "sizes")
     plan = budgets(slim, weights, share, ceiling)
     out = docs.withColumns({"size": word_count(F.col("text")), "_cell": cell()})
-    return _joined(out, plan, spark).withColumn(
-        "taken", F.col("size") * (F.col("copies") + F.when(F.col("_cell") < F.col("threshold"), 1).otherwise(0))
-    ).drop("copies", "threshold", "_cell")
+    taken = F.col("size") * (F.col("copies") + F.when(F.col("_cell") < F.col("threshold"), 1).otherwise(0))
+    return restored(_joined(out, plan, spark).withColumn("taken", taken), names, used, *made)
 
 
 def _joined(rows: DataFrame, plan: DataFrame, spark) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, few_rows, runs, text_bytes, tidy, words
+from .common import aside, buckets_for, few_rows, restored, runs, text_bytes, tidy, words
 
 #: Bits of a sketch row's width at least and at most (2 rows of 2**28 one-bit results: 64 MB broadcast, whatever the corpus).
 LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
@@ -374,9 +374,13 @@ def dedup(docs: DataFrame, n: int = 35) -> DataFrame:
 
 
 def trimmed(docs: DataFrame, n: int = 35) -> DataFrame:
-    """docs with n_words and n_removed; where words go, text is the kept words joined by one space. Every row stays."""
-    new = ["n_words", "n_removed"]
-    docs = marked(docs.drop(*new), n)
+    """docs with n_words and n_removed; where words go, text is the kept words joined by one space. Every row stays.
+
+    Edge cases are those of dedup(). Further columns pass through; input columns named like the new ones are replaced.
+    """
+    new, used = ["n_words", "n_removed"], ["doc_id", "text"]
+    docs, before = aside(docs, used, new)
+    docs = marked(docs, n)
     names = docs.drop("at").columns
     spot, kept_at = docs.columns.index("at"), names.index("text")
 
@@ -395,4 +399,4 @@ def trimmed(docs: DataFrame, n: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, *new])
 
     kind = T.StructType([*docs.drop("at").schema.fields, *(T.StructField(c, T.LongType()) for c in new)])
-    return docs.mapInArrow(run, kind)
+    return restored(docs.mapInArrow(run, kind), before, used, *new)

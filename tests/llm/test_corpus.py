@@ -1,14 +1,17 @@
 """The corpus operators against brute force and on edge cases."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import chat, jaccard, language, lm, mixing, packing, quality, rules, substrings, vectors
+from driftloom.llm import chat, jaccard, language, lm, mixing, packing, quality, queries, rules, substrings, vectors
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, score double"
@@ -243,8 +246,185 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert (got.n_links == 59).all() and (got.class_id == 0).all()
 
 
-def test_pipeline(spark):
+def frame(rows_, columns):
+    out = rows_[sorted(columns)].astype(object)
+    return Counter(tuple(None if pd.isna(x) else x for x in r) for r in out.itertuples(index=False))
+
+
+@pytest.fixture(scope="module")
+def duck(spark, rows):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, duck, name):
+    a, b = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.sql(queries.ORACLES[name]).df()
+    assert sorted(a.columns) == sorted(b.columns) and frame(a, a.columns) == frame(b, b.columns)
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op5_substring_dedup"])
+def test_edge_cases_equal_sql(spark, docs, name, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    a, b = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(queries.ORACLES[name]).df()
+    assert frame(a, a.columns) == frame(b, b.columns)
+
+
+def test_rule_counts(spark, docs, rows):
+    got = rules.weigh(docs).toPandas()
+    want = Counter()
+    for r in rows:
+        t = r[1] or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        c = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+        rep = len({k for i in range(len(ws) - 2) if c[tuple(ws[i : i + 3])] > 1 for k in range(i, i + 3)})
+        want[(r[0], len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), rep, len(ws) < 50 or 100 * rep > 50 * len(ws))] += 1
+    names = ["doc_id", *rules.COUNTS, "base_failed"]
+    assert Counter(tuple(None if pd.isna(x) else x for x in r) for r in got[names].astype(object).itertuples(index=False)) == want
+
+
+def quoted_parts(passage):
+    parts = [passage, *re.split(r"\n[ \t]*\n", passage), *[x for x in passage.split("\n") if len(x) >= chat.LEAST_LINE]]
+    return list(dict.fromkeys(x for x in (" ".join(p.lower().split()) for p in parts) if x))
+
+
+def test_chat_equals_brute_force(spark):
+    r = np.random.default_rng(5)
+    convs = []
+    for conv in range(12):
+        said = []
+        for turn in range(int(r.integers(1, 25))):
+            lines = []
+            for _ in range(int(r.integers(0, 3))):
+                if said:
+                    old = said[int(r.integers(len(said)))].split("\n")
+                    lo = int(r.integers(len(old)))
+                    lines += ["> " + x if r.random() < 0.9 else ">" + x for x in old[lo : lo + int(r.integers(1, 4))]]
+            lines += [text(int(r.integers(0, 6))) for _ in range(int(r.integers(0, 4)))]
+            said.append("\n".join(lines))
+        convs += [(conv, k, "u", t) for k, t in enumerate(said)]
+    want, bodies = {}, {}
+    for conv, turn, _, t in convs:
+        runs, body, last = [], [], 0
+        for line in t.split("\n"):
+            marks = re.match(r"(?:[ \t]{0,3}>)*", line).group()
+            level = marks.count(">")
+            plain = re.sub(r"^[ \t]", "", line[len(marks) :]) if level else line
+            if not level:
+                body.append(line)
+            elif level == last:
+                runs[-1][1].append(plain)
+            else:
+                runs.append((level, [plain]))
+            last = level
+        hits = []
+        for level, ls in runs:
+            for k, x in enumerate(quoted_parts("\n".join(ls))):
+                origin = bodies.get((conv, x))
+                if origin is not None and origin < turn:
+                    hits.append((level, min(k, 1), -origin))
+        for x in quoted_parts("\n".join(body).strip()):
+            bodies.setdefault((conv, x), turn)
+        parent = -min(hits)[2] if hits else None
+        root, depth = (want[conv, parent][1], want[conv, parent][2] + 1) if hits else (turn, 0)
+        want[conv, turn] = (parent, root, depth, len(runs), "\n".join(body).strip())
+    got = chat.link(spark.createDataFrame(convs, "conv_id long, turn long, role string, text string")).collect()
+    assert {(g.conv_id, g.turn): (g.parent_turn, g.root_turn, g.depth, g.n_quotes, g.text) for g in got} == want
+    assert max(w[2] for w in want.values()) > 3
+    for conv in range(12):
+        own = sorted((g for g in got if g.conv_id == conv), key=lambda g: g.position)
+        assert [g.position for g in own] == list(range(len(own))) and [(g.root_turn, g.turn) for g in own] == sorted((g.root_turn, g.turn) for g in own)
+
+
+def brute_classes(texts):
+    grams = []
+    for t in texts:
+        w = split(t)
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    a = np.array([[i != j and bool(x) and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(grams)] for i, x in enumerate(grams)])
+    return linked(a)
+
+
+def brute_trimmed(texts):
+    ws = [split(t) for t in texts]
+    c = Counter(tuple(w[i : i + 35]) for w in ws for i in range(len(w) - 34))
+    out = []
+    for t, w in zip(texts, ws):
+        gone = {k for i in range(len(w) - 34) if c[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
+        out.append(None if gone and not left else (True, left) if gone else (False, t))
+    return out
+
+
+def check_stage(spark, name, before, out):
+    """A stage's rows against brute force over the rows it was given."""
+    import corpus_pipeline
+
+    rows_ = [tuple(r) for r in before.select(*corpus_pipeline.COLUMNS).collect()]
+    got = Counter(tuple(r) for r in out.collect())
+    if name == "language_id":
+        bare = before.select(*corpus_pipeline.COLUMNS)
+        found = language.tagged(bare, language.learn(language.training(bare))).collect()
+        assert got == Counter((r.doc_id, r.text, r.lang_pred, r.source, r.n_chars) for r in found if r.lang_pred != "und" and r.score >= 0.5)
+    elif name == "jaccard_join":
+        label = brute_classes([r[1] for r in rows_])
+        of = {}
+        for r, k in zip(rows_, label):
+            of.setdefault(int(k), []).append(r)
+        assert sum(got.values()) == len(of)
+        for members in of.values():
+            mine = [r for r in members if r in got]
+            assert mine and (None in {r[0] for r in members} or min(r[0] for r in mine) == min(r[0] for r in members))
+    elif name == "substring_dedup":
+        want = Counter()
+        for r, new in zip(rows_, brute_trimmed([r[1] for r in rows_])):
+            if new is not None:
+                want[(r[0], new[1], *r[2:4], len(new[1]) if new[0] else r[4])] += 1
+        assert got == want
+    elif name == "mix_sources":
+        con = duckdb.connect()
+        before.select(*corpus_pipeline.COLUMNS).toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}).pipe(lambda d: con.register("documents", d))
+        taken = con.sql(queries.ORACLES["op1_mix_sources"]).fetchall()
+        want = Counter()
+        for doc, size, *_, words_, source in taken:
+            want[doc, source] += words_ // size if size else 0
+        have = Counter()
+        for r, n in got.items():
+            have[r[0], r[3]] += n
+        assert have == +want
+    else:
+        assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_stages_on_edge_cases(spark, docs, rows):
+    import corpus_pipeline
+
+    wide = docs.withColumns({c: F.lit("x") for c in ("row_key", "at", "n_words", "lang_pred", "_key", "taken", "copies")})
+    wide = wide.union(spark.createDataFrame([(*rows[0][:2], "de", "other", 2, 7, 0.5, *["y"] * 7), (2, rows[2][1] + " more", "de", "a", 1, 7, 0.5, *["y"] * 7)], wide.schema))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, wide, "")
+        if k < 4:
+            assert out.columns == corpus_pipeline.COLUMNS, name
+        check_stage(spark, name, wide, out)
+        assert stage(spark, wide.limit(0), "").count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage over what its predecessor kept, as run() chains them, against brute force on its own input."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, given, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        check_stage(spark, name, given, out)
+        given = out
+    whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert frame(whole.toPandas(), key) == frame(given.toPandas(), key)
+    assert whole.count() > 0 and whole.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
