@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of documents: doc_id, text, lang, source, n_chars.
+
+Null and repeated ids, null or empty texts, nulls in other columns and rows repeated whole have the results that each
+stage's operator states; an empty table gives no rows; columns beyond those of documents are left out, whatever their
+names. A text that is null or has no letters ends at the language stage.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates stays, the one with the smallest id."""
+    """One row of each class of near duplicates stays, the one with the smallest id; texts without a word all stay."""
     return jaccard.kept_rows(docs, jaccard.join(docs.select("doc_id", "text"), 5, 0.8)).select(*COLUMNS)
 
 
