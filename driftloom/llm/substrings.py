@@ -157,17 +157,29 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
             yield out()
         tidy()
 
-    def merge(t: pa.Table) -> pa.Table:
-        count = np.zeros(each, np.uint8)
-        for one, many in zip(t.column("ones").to_pylist(), t.column("manys").to_pylist()):
-            at = unpacked(one)
-            count[at] = np.minimum(count[at] + 1, 2)
-            count[unpacked(many)] = 2
-        bits_ = zstandard.compress(np.packbits(count > 1, bitorder="little").tobytes(), 1)
-        return pa.table({"row": t.column("row").slice(0, 1), "shard": t.column("shard").slice(0, 1), "bits": pa.array([bits_], pa.binary())})
+    def merge(batches):
+        """One shard's counts at a time, however many tasks sent a part of it."""
+        key, count = None, None
+
+        def done():
+            bits_ = zstandard.compress(np.packbits(count > 1, bitorder="little").tobytes(), 1)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits_], pa.binary())], names=["row", "shard", "bits"])
+
+        for b in batches:
+            for row, shard, one, many in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (row, shard) != key:
+                    if key is not None:
+                        yield done()
+                    key, count = (row, shard), np.zeros(each, np.uint8)
+                at = unpacked(one)
+                count[at] = np.minimum(count[at] + 1, 2)
+                count[unpacked(many)] = 2
+        if key is not None:
+            yield done()
 
     got = docs.select("text").mapInArrow(partial, "row int, shard int, ones binary, manys binary")
-    return [(r[0], r[1], bytes(r[2])) for r in got.groupBy("row", "shard").applyInArrow(merge, "row int, shard int, bits binary").collect()]
+    merged = got.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(merge, "row int, shard int, bits binary")
+    return [(r[0], r[1], bytes(r[2])) for r in merged.collect()]
 
 
 _open: dict[str, np.ndarray] = {}
