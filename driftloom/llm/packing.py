@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import few_rows, settle
 
 #: Entries of each cache of a worker; beyond it the older half goes, so memory is bounded.
-CACHE = 150_000
+CACHE = 400_000
 _coders: dict[str, "Coder"] = {}
 #: How the tokenizer of word_bpe_49k.json divides lower-case text (its own pattern, fixed values, for the letters below).
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
