@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, components, few_rows, mix, restored, settle, small, streamed_groups
+from .common import aside, components, few_rows, mix, restored, settle, small, streamed_groups, tidy
 from .substrings import Hasher, _slices, rolled
 
 #: Trees of the forest, the longest prefix of a tree's signature, and the share of links at the threshold to be found.
@@ -160,6 +160,7 @@ def verify(nodes: DataFrame, similarity: float) -> DataFrame:
             b = pa.array(np.concatenate((np.zeros(len(hit), np.int64), rep[hit[label[far]]])), mask=np.arange(len(a)) < len(hit))
             c = np.concatenate((link @ n[hit], np.zeros(len(far), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], schema=tell)
+        tidy()
 
     return nodes.mapInArrow(run, "a long, b long, links long")
 

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import few_rows, settle
+from .common import few_rows, settle, tidy
 
 #: Entries of each cache of a worker; beyond it the older half goes, so memory is bounded.
-CACHE = 400_000
-_coders: dict[str, "Coder"] = {}
+CACHE = 150_000
 #: How the tokenizer of word_bpe_49k.json divides lower-case text (its own pattern, fixed values, for the letters below).
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 #: Characters whose lower case and normal form are plain: printable ASCII and Latin letters with marks.
@@ -89,10 +88,7 @@ def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        key = "coder"
-        if key not in _coders:
-            _coders[key] = Coder(shared.value)
-        coder = _coders[key]
+        coder = Coder(shared.value)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1).cast(pa.binary()))):
@@ -102,6 +98,8 @@ def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        del coder
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -127,8 +127,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
     each = (1 << bits) // SHARDS
 
     def partial(batches):
-        _open.clear()
-        tidy()
+        forget()
         hasher, held, total = Hasher(), [], 0
 
         def out():
@@ -197,6 +196,12 @@ def opened(tag: str, parts: list[tuple[int, int, bytes]], bits: int) -> np.ndarr
     return _open[tag]
 
 
+def forget() -> None:
+    """Drop a worker's sketch: no later stage reads it. (Tasks call this by name, so it acts on the worker's own copy.)"""
+    _open.clear()
+    tidy()
+
+
 def _hit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (b[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
 
@@ -254,7 +259,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
             null = np.array(ids.is_null().to_numpy(zero_copy_only=False))
             held.append((a, b, ids.fill_null(0).to_numpy()[d], keys[d], p, null[d]))
             total += len(a)
-            if total > HELD // 2:
+            if total > HELD // 8:
                 yield from out()
                 held, total = [], 0
         if total:
@@ -262,7 +267,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
         tidy()
 
     def confirm(t: pa.Table) -> pa.Table:
-        tidy()
+        forget()
         mine, rows = [], []
         shard = t.column("bucket")[0].as_py()
         for kind, data in zip(*(t.column(c).to_pylist() for c in ("kind", "data"))):
@@ -345,7 +350,7 @@ def covered(n_words: int, at: bytes | None, n: int) -> np.ndarray:
 
 def marked(docs: DataFrame, n: int = 35) -> DataFrame:
     """docs with `at`, the packed starts of the repeated windows of n words; every row stays."""
-    few_rows(docs.sparkSession)
+    few_rows(docs.sparkSession, 250)
     size = text_bytes(docs)
     bits = int(np.clip(np.ceil(np.log2(max(size / 6 * 2, 1))), LEAST_BITS, MOST_BITS))
     found = marks(docs, n, bits, sketch(docs, n, bits), buckets_for(docs.sparkSession, size, 24 << 20))
