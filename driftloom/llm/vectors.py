@@ -15,6 +15,8 @@ from .common import components, settle, small
 BLOCK, MOST_PIVOTS = 4096, 1024
 #: Rows of the streamed side compared at a time.
 CHUNK = 2048
+#: Pivots at most this far apart are one.
+TWINS = 1e-6
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -40,19 +42,36 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def apart(p: np.ndarray) -> np.ndarray:
+    """Distances between pivots, from differences: 2 - 2 * cos would lose small ones."""
+    return np.stack([np.sqrt(np.einsum("ij,ij->i", p - x, p - x)) for x in p])
+
+
+def distinct(p: np.ndarray) -> np.ndarray:
+    """The pivots without those within TWINS of an earlier one, whose cells only rounding would tell apart."""
+    near = np.triu(apart(p) <= TWINS, 1)
+    kept = np.ones(len(p), bool)
+    for i in range(len(p)):
+        if kept[i]:
+            kept &= ~near[i]
+    return p[kept]
+
+
 def assigned(texts: DataFrame, pivots: dict[int, np.ndarray], radius: float, parts: dict[tuple[int, int], int] | None) -> DataFrame:
     """The nearest pivot's cell of each vector; with parts, also each block that it must meet.
 
     A vector y within `radius` of x lies in cell j only if x is no farther than `radius` from that cell's half-space
     against x's own cell: by the triangle inequality in the plane of x and both pivots this distance is
     (d(x, pj)^2 - d(x, pi)^2) / 2 d(pi, pj), and at most d(x, pj) - radius(cell). A pair of cells meets in the one
-    that comes later, so each pair of vectors is compared once.
+    that comes later, so each pair of vectors is compared once. The bound is tested without dividing by d(pi, pj), with
+    the rounding of both squared distances, of both vectors, on top: near-equal pivots then reach each other.
     """
     shared = texts.sparkSession.sparkContext.broadcast((pivots, parts))
     fields = ["dim", "cell", "part", "own", "rep", "n", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         piv, parts_ = shared.value
+        gaps = {dim: apart(p) for dim, p in piv.items()} if parts_ is not None else {}
         for b in batches:
             raw, rep, n, mark = b.column("v").to_pylist(), b.column("rep").to_numpy(), b.column("n").to_numpy(), b.column("mark").to_numpy()
             rows = []
@@ -65,13 +84,13 @@ def assigned(texts: DataFrame, pivots: dict[int, np.ndarray], radius: float, par
                 if parts_ is None:
                     rows += [(dim, int(c), 0, True, int(rep[i]), int(n[i]), b"") for i, c in zip(at, near)]
                     continue
-                gap = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-300))
-                reach = (d2 - d2[np.arange(len(at)), near][:, None]) / (2 * gap[near]) <= radius + 1e-9
+                slack = 8 * (dim + 16) * np.finfo(float).eps
+                reach = d2 - d2[np.arange(len(at)), near][:, None] <= 2 * gaps[dim][near] * np.sqrt(radius**2 + slack) + slack
                 for row, i in enumerate(at):
                     c = int(near[row])
-                    k = int(mark[i]) % parts_[dim, c]
+                    k = int(mark[i]) % parts_.get((dim, c), 1)
                     for to in np.flatnonzero(reach[row, : c + 1]).tolist():
-                        last = k if to == c else parts_.get((dim, to), 0) - 1
+                        last = k if to == c else parts_.get((dim, to), 1) - 1
                         for part in range(last + 1):
                             rows.append((dim, to, part, to == c and part == k, int(rep[i]), int(n[i]), raw[i]))
                         if len(rows) >= 5000:
@@ -143,7 +162,7 @@ def compared(entries: DataFrame, least: float) -> DataFrame:
                     w.clear()
 
         def finish():
-            if block is not None:
+            if block is not None and block.rep:
                 if block.x is None:
                     yield from block.close()
                 yield from flush()
@@ -215,7 +234,7 @@ def link(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     pivots = {}
     for dim, n in dims.items():
         k = int(min(max(-(-n // BLOCK), 1), MOST_PIVOTS))
-        pivots[dim] = unit([bytes(r[0]) for r in texts.filter(F.length("v") == 8 * dim).orderBy("mark", "v").limit(k).select("v").collect()])
+        pivots[dim] = distinct(unit([bytes(r[0]) for r in texts.filter(F.length("v") == 8 * dim).orderBy("mark", "v").limit(k).select("v").collect()]))
     cells = assigned(texts, pivots, radius, None).groupBy("dim", "cell").count().collect()
     parts = {(r[0], r[1]): -(-r[2] // BLOCK) for r in cells}
     entries = assigned(texts, pivots, radius, parts)

@@ -130,6 +130,18 @@ def test_vectors(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("twins", [1e-6, -1.0])
+def test_scaled_copies_link_across_pivots(spark, monkeypatch, twins):
+    """Scalar multiples of one vector give near-equal pivots; with twins = -1 those stay, and their cells must meet."""
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "TWINS", twins)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 64))
+    x[:300] = x[0] * r.uniform(0.1, 9, 300)[:, None].astype(np.float32)
+    got = vectors.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == [299] * 300 + [0] * 300 and (got.component_id[:300] == 0).all()
+
+
 def test_substrings(spark, docs, rows):
     got = substrings.dedup(docs, 35).toPandas()
     ws = [split(r[1]) for r in rows]
