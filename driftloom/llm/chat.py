@@ -10,8 +10,8 @@ from .mixing import ranked
 
 #: A line's quote marks: one or more ">", each after at most three blanks.
 MARKS = r"^(?:[ \t]{0,3}>)+"
-#: Lines of fewer characters than this are too common to tell where a passage comes from.
-LEAST_LINE = 12
+#: Every line of so many characters is matched.
+LEAST_LINE = 1
 
 
 def _lines(text: Column) -> Column:
@@ -46,8 +46,58 @@ def parsed(messages: DataFrame) -> DataFrame:
     return with_lines.withColumns({"quotes": quotes, "body": F.when(F.col("text").isNull(), F.lit(None)).otherwise(body)}).drop("_lines", "_text")
 
 
+def _said(passage: Column) -> Column:
+    """Hashes of the lines that are not blank, in order."""
+    return F.transform(F.filter(F.transform(F.split(passage, "\n"), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def windows(df: DataFrame, longest: int) -> tuple[DataFrame, list[str]]:
+    """df with columns _w0, _w1, ...: item i of _wj is a hash of the 2**j lines of `_said` from i on.
+
+    A run of k lines is told by its first and its last 2**j lines, 2**j being the greatest power up to k, so that a
+    run costs the same however long it is.
+    """
+    df, names, size = df.withColumn("_w0", F.col("_said")), ["_w0"], 1
+    while 2 * size <= longest:
+        old, step = names[-1], F.lit(size)
+        made = F.transform(F.col(old), lambda x, i: F.xxhash64(x, F.get(old, i + step)))
+        df = df.withColumn(f"_w{len(names)}", F.slice(made, F.lit(1), F.greatest(F.size(old) - step, F.lit(0))))
+        names.append(f"_w{len(names)}")
+        size *= 2
+    return df, names
+
+
+def _run(names: list[str], start: Column, k: Column) -> Column:
+    """Hash of the k lines from `start` on, k being at least 2."""
+    out = F.lit(None).cast("long")
+    for j, name in enumerate(names):
+        whole = F.xxhash64(k, F.get(name, start), F.get(name, start + k - F.lit(1 << j)))
+        out = F.when(k >= 1 << j, whole).otherwise(out) if j else F.when(k >= 1, whole)
+    return out
+
+
+def runs_of_lines(read: DataFrame, spoken: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The quoted passages of several lines, (conv_id, turn, row, nth, level, hash), and such runs in bodies, (conv_id, turn, hash).
+
+    A body gives its runs of the lengths that its own conversation quotes; blank lines between lines don't count.
+    """
+    asked = read.select("conv_id", "turn", "row", F.posexplode("quotes").alias("nth", "q")).select("conv_id", "turn", "row", "nth", "q.level", _said(F.col("q.passage")).alias("_said"))
+    asked = settle(asked.withColumn("k", F.size("_said")).filter("k > 1"), "runs")
+    longest = asked.agg(F.max("k")).first()[0]
+    if longest is None:
+        return None
+    asked, names = windows(asked, longest)
+    asked = asked.select("conv_id", "turn", "row", "nth", "level", "k", _run(names, F.lit(0), F.col("k")).alias("hash"))
+    lengths = settle(asked.select(F.col("conv_id").alias("_c"), "k").distinct(), "lengths")
+    bodies, names = windows(spoken.select("conv_id", "turn", _said(F.coalesce("body", F.lit(""))).alias("_said")).filter(F.size("_said") > 1), longest)
+    bodies = bodies.join(small(lengths, lengths.count()), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.size("_said") >= F.col("k")))
+    starts = F.sequence(F.lit(0), F.size("_said") - F.col("k"))
+    said = bodies.select("conv_id", "turn", F.explode(F.transform(starts, lambda i: _run(names, i, F.col("k")))).alias("hash"))
+    return asked.drop("k"), said
+
+
 def _hashes(passage: Column) -> Column:
-    """Hash of the whole passage first, then of its paragraphs and its longer lines."""
+    """Hash of the whole passage first, then of its paragraphs and its lines."""
     parts = F.concat(F.array(passage), F.split(passage, r"\n[ \t]*\n"), F.filter(F.split(passage, "\n"), lambda x: F.length(x) >= LEAST_LINE))
     kept = F.filter(F.transform(parts, normalised), lambda x: x != "")
     return F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x)))
@@ -57,7 +107,8 @@ def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, n_linked, parent_turn, root_turn, depth, position) of every message.
 
     Quoted passages are hashed after normalising and joined to the first message of the conversation that says them
-    (in its body, not in a quote), if it comes before. A message replies to the latest such origin of its outermost
+    (in its body, not in a quote), if it comes before: as all of it, a paragraph, a line of any length or a run of
+    consecutive lines. A message replies to the latest such origin of its outermost
     quotes, a whole passage counting before a line; without one it starts a thread. text has no quotes. position
     orders a conversation thread by thread, each reply after the message it answers.
 
@@ -73,6 +124,10 @@ def link(messages: DataFrame) -> DataFrame:
     marked = read.withColumn("row", F.xxhash64("role", "text"))
     quoted = marked.filter(F.size("quotes") > 0).select("conv_id", "turn", "row", F.posexplode("quotes").alias("nth", "q"))
     quoted = quoted.select("conv_id", "turn", "row", "nth", "q.level", F.posexplode(_hashes(F.col("q.passage"))).alias("part", "hash"))
+    runs = runs_of_lines(marked.filter(F.size("quotes") > 0), read)
+    if runs is not None:
+        quoted = quoted.unionByName(runs[0].withColumn("part", F.lit(0)))
+        said = said.unionByName(runs[1])
     quoted = settle(quoted, "quotes")
     links = marked.select("conv_id", "turn", "row").limit(0).selectExpr("*", "0L n_linked", "cast(null as bigint) parent_turn")
     if not quoted.isEmpty():

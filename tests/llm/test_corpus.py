@@ -207,6 +207,21 @@ def test_chat(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_short_lines_and_runs_of_lines_are_found(spark):
+    rows = [
+        (1, 0, "u", "We could stay at home.\nLet's go.\nIt is late."), (1, 1, "a", "a\nb\n\nc\nd\ne\nf\na"), (1, 2, "u", "b\nc"),
+        (1, 3, "a", "> Let's go.\nYes."), (1, 4, "u", "> B\n> c\n>\n> d\n> e\nRight."), (1, 5, "a", "> b\n> c\nAll."), (1, 6, "u", "> e\n> b\nNo run."),
+        (2, 0, "u", "b\nc\nd"), (1, 7, "u", "> It is late.\n> nobody said this\nSo?"), (1, 8, "u", "> a\n> b\n> c\n> d\n> e\n> f\n> a\nWhole."), (1, 9, "u", "> x y\nNone."),
+    ]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == {
+        (1, 0): None, (1, 1): None, (1, 2): None, (1, 3): 0, (1, 4): 1, (1, 5): 2, (1, 6): 1, (2, 0): None, (1, 7): 0, (1, 8): 1, (1, 9): None,
+    }
+    run = [(1, 0, "u", "b x\nq"), (1, 1, "u", "c x\nq"), (1, 2, "u", "a x\nb x\nc x\nd x"), (1, 3, "a", "> b x\n> c x\nOf the run.")]
+    got = chat.link(spark.createDataFrame(run, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent_turn for r in got} == {0: None, 1: None, 2: None, 3: 2}  # by its lines alone it would be 1
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
