@@ -1,4 +1,4 @@
-"""Near-duplicate join by Jaccard similarity of word n-grams: a MinHash LSH forest, then exact verification."""
+"""Near-duplicate join by Jaccard similarity of word n-grams: MinHash banding, then exact verification."""
 
 from __future__ import annotations
 
@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 from .common import aside, components, few_rows, mix, restored, settle, small, streamed_groups, tidy
 from .substrings import Hasher, _slices, rolled
 
-#: Trees of the forest, the longest prefix of a tree's signature, and the share of links at the threshold to be found.
+#: Bands, called trees, the most MinHash values in one, and the share of links at the threshold to be found.
 TREES, DEEPEST, RECALL = 32, 8, 0.99999
 #: Texts in a block of one verification task; larger groups are verified block by block.
 BLOCK = 512
 
 
 def depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair just as similar as asked meets in some tree with the target recall.
+    """The most values to a band at which a pair just as similar as asked meets in some band with the target recall.
 
-    Prefixes shorten from the deepest until 1 - (1 - s**k)**trees reaches the target; more similar pairs meet at
-    longer prefixes of the same sorted tries.
+    It falls from the deepest until 1 - (1 - s**k)**trees reaches the target, by this formula alone and not by the data.
     """
     k = deepest
     while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
@@ -71,7 +70,7 @@ def signatures(h: np.ndarray, many: np.ndarray, k: int, trees: int = TREES) -> n
 
 
 def sketched(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, row_key, k1, k2, n_grams, keys) of every row: 128 bits of the word sequence, and the forest's keys."""
+    """(doc_id, row_key, k1, k2, n_grams, keys) of every row: 128 bits of the word sequence, and the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         hasher = Hasher()
@@ -172,8 +171,8 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     of 1 to n-1 words has one n-gram, of all its words. n_links counts the other rows linked to a row, copies too;
     class_id is the smallest id reachable over links; kept marks the rows that bear it.
 
-    Rows of one word sequence are one text, sent on once. A forest of sorted prefix tries proposes groups: each text
-    sends one key a tree, and only keys that two texts share go on. The groups' connected parts are then verified
+    Rows of one word sequence are one text, sent on once. Fixed bands of MinHash values propose groups: each text
+    sends one key a band, and only keys that two texts share go on. The groups' connected parts are then verified
     exactly, in blocks of texts against texts; counts and a spanning set of links come out, not pairs.
 
     Texts without a word link to nothing and are their own class. A row with a null id goes under a hash of its text.
