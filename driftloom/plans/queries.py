@@ -128,7 +128,7 @@ def frame_assign(spark, d):
  WHERE us >= t0 + f.k * {DAY} AND us < t0 + (f.k + 1) * {DAY} GROUP BY 1""", f"{POSTS}, {FRAMED}")
 def frame_range_join(spark, d):
     f = grid.assign_frames(posts(spark, d)).filter("frame_id >= 0")
-    return f.groupBy("frame_id").agg(F.count("*").alias("n")).filter("frame_id < 40")
+    return f.groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT a.frame_id, CAST(coalesce(sum(b.n) FILTER (b.frame_id >= a.frame_id - 3), sum(b.n)) AS BIGINT) AS n FROM f a JOIN f b ON b.frame_id < a.frame_id GROUP BY 1""",

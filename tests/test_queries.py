@@ -54,6 +54,14 @@ def test_frame_edges(spark):
     assert [r.frame_id for r in grid.assign_frames(df).orderBy("id").collect()] == [0, 1, -1]
 
 
+def test_frames_run_to_the_last_post(spark, tmp_path):
+    e = spark.read.parquet(f"{DIR}/events.parquet").limit(50)
+    late = e.withColumn("ts", F.expr("ts + interval 70 days"))
+    e.unionByName(late).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["frame_range_join"](spark, str(tmp_path)).agg(F.sum("n"), F.max("frame_id")).first()
+    assert got[0] >= 99 and got[1] >= 69
+
+
 def test_null_and_nan_both_go(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "id long, x double")
     assert [r.id for r in points.drop_missing(df, "x").collect()] == [1]
