@@ -88,10 +88,17 @@ def restored(df: DataFrame, names: list[str], used: list[str], *made: str) -> Da
     return df.select(*[F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in names], *made)
 
 
-def few_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most: whole texts are long, and a task holds several batches at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows and bytes of an Arrow batch at most: a task holds several batches at once, on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+
+
+def few_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Small Arrow batches for this session, as whole texts are long. Plans run later, so the settings stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, most)
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -123,6 +130,24 @@ def tidy() -> None:
         return
 
 
+_slot: dict = {}
+
+
+def held(tag: str, make):
+    """A worker's one lasting object: make() for a new tag, whose predecessor is dropped first."""
+    if tag not in _slot:
+        _slot.clear()
+        tidy()
+        _slot[tag] = make()
+    return _slot[tag]
+
+
+def forget() -> None:
+    """Drop what a worker holds. (Tasks call this by name, so it acts on the worker's own copy.)"""
+    _slot.clear()
+    tidy()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
@@ -191,25 +216,45 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
 
 
+def _renamed(edges: DataFrame, on: str, names: DataFrame) -> DataFrame:
+    """edges with `m`, what names(n, m) calls the node `on`, or null.
+
+    names holds only the nodes whose name differs, mostly few: they are broadcast while their count allows, so that a
+    hub's edges stay where they are; beyond that edges are salted, and every name is sent to each salt.
+    """
+    names = settle(names, "names")
+    n = names.count()
+    if n <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(names), F.col(on) == F.col("n"), "left").drop("n")
+    salts = 16
+    names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = edges.withColumn("_s", F.pmod(F.xxhash64("a", "b"), F.lit(salts)).cast("int"))
+    return spread.join(names, (F.col(on) == F.col("n")) & (F.col("_s") == F.col("_salt")), "left").drop("n", "_s", "_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b), for every node with an edge to another.
 
     Alternating large and small stars. Each step takes a minimum by node (combined before the shuffle) and joins
-    it back, so a hub's edges are split by AQE's skew join and never gathered. Every round is written to the shared
-    folder; the driver sees a count and two checksums.
+    back those that change an edge, so a hub's edges are not gathered. Every round is written to the shared folder;
+    the driver sees counts and two checksums.
     """
     star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     star = settle(star, "edges")
     seen = _mark(star)
     while seen[0]:
-        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(least, both.a == least.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small_ = large.join(down, large.a == down.n).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        new = settle(small_.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
+        # large star: (a, b) becomes (a, m), m being the least neighbour of b, if b has one under it
+        heads = star.select(F.col("b").alias("_b")).distinct()
+        least = star.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).join(heads, F.col("n") == F.col("_b"), "left_semi")
+        large = _renamed(star, "b", least).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = settle(large, "edges")
+        # small star: all but the least of several neighbours under a, and a itself, are joined to that least one
+        several = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.max("b").alias("x")).filter("m < x").select("n", "m")
+        small_ = _renamed(large, "a", several).withColumn("m", F.coalesce("m", "b"))
+        small_ = small_.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        new = settle(small_.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         release(star)
+        release(large)
         star, now = new, _mark(new)
         if now == seen:
             break

@@ -1,4 +1,4 @@
-"""Near-duplicate join by Jaccard similarity of word n-grams: MinHash banding, then exact verification."""
+"""Near-duplicate join by Jaccard similarity of word n-grams: a MinHash LSH forest, then exact verification."""
 
 from __future__ import annotations
 
@@ -6,85 +6,166 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
 from .common import aside, components, few_rows, mix, restored, settle, small, streamed_groups, tidy
-from .substrings import Hasher, _slices, rolled
+from .substrings import rolled
 
-#: Bands, called trees, the most MinHash values in one, and the share of links at the threshold to be found.
-TREES, DEEPEST, RECALL = 32, 8, 0.99999
+#: Trees of the forest, levels below its roots, and the share of links to be found.
+TREES, LEVELS, RECALL = 32, 3, 0.99999
+#: Bits of a label that each level takes; the root takes the rest of 64.
+LEVEL_BITS = 6
 #: Texts in a block of one verification task; larger groups are verified block by block.
 BLOCK = 512
 
 
-def depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The most values to a band at which a pair just as similar as asked meets in some band with the target recall.
+def found_share(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """How likely two texts share a prefix of `depth` MinHash values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
-    It falls from the deepest until 1 - (1 - s**k)**trees reaches the target, by this formula alone and not by the data.
-    """
-    k = deepest
-    while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
-        k -= 1
+
+def root_depth(similarity: float, trees: int = TREES, recall: float = RECALL) -> int:
+    """MinHash values at the root: the longest prefix that meets the target recall even if no pair is more similar than asked."""
+    k = 1
+    while found_share(similarity, k + 1, trees) >= recall:
+        k += 1
     return k
 
 
-def shingles(ws_of: list[list[bytes]], n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, number a text): 64-bit hashes of each text's n-grams; a text of 1 to n-1 words has one, of all its words."""
-    lens = np.array([len(w) for w in ws_of], np.int64)
-    h = np.ascontiguousarray(hasher([w for ws in ws_of for w in ws])[:, 0])
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else lens
+def shingles(buf: np.ndarray, edge: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, number a text, digests): 64-bit hashes of each text's n-grams and 128 bits of its word sequence.
+
+    A text of 1 to n-1 words has one n-gram, of all its words.
+    """
+    start, end, lens = scan.words(buf, edge)
+    h = scan.hashes(buf, start, end)
+    first = np.cumsum(lens) - lens
+    digest = np.zeros((len(lens), 2), np.uint64)
+    live = np.flatnonzero(lens)
+    if len(live):
+        with np.errstate(over="ignore"):
+            turn = (np.arange(len(start)) - np.repeat(first, lens) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for k in (0, 1):
+                digest[live, k] = mix(np.add.reduceat(mix(h[k] + turn), first[live]) + lens[live].astype(np.uint64))
     many = np.where(lens >= n, lens - n + 1, np.minimum(lens, 1))
     doc = np.repeat(np.arange(len(lens)), many)
-    at = starts[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    out = np.zeros(len(doc), np.uint64)
+    at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
     full = lens[doc] >= n
+    out = digest[doc, 0]
     if full.any():
-        out[full] = rolled(h, n, 0x9E3779B97F4A7C15)[at[full]]
-    for i in np.flatnonzero(~full):
-        d = doc[i]
-        out[i] = np.uint64(xxhash.xxh3_64_intdigest(b"\0".join(ws_of[d])))
-    return out, many
+        out[full] = rolled(h[0], n, 0x9E3779B97F4A7C15)[at[full]]
+    return out, many, digest
+
 
+def signatures(h: np.ndarray, many: np.ndarray, root: int, trees: int = TREES) -> np.ndarray:
+    """One label a tree for each text that has n-grams: its MinHash values in order, the first `root` of them as one symbol.
 
-def signatures(h: np.ndarray, many: np.ndarray, k: int, trees: int = TREES) -> np.ndarray:
-    """One key a tree for each text that has n-grams: its signature's first k MinHash values, hashed together."""
+    Labels compare as their sequences do, so sorting them lays out the tree's leaves, and a common prefix of labels is
+    a common prefix of signatures.
+    """
     live = many > 0
     starts = (np.cumsum(many) - many)[live]
     low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     rng = np.random.default_rng(20)
+    k = root + LEVELS
     odd = rng.integers(0, 1 << 31, trees * k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 1 << 32, trees * k, dtype=np.uint32)
-    keys = np.zeros((int(live.sum()), trees), np.uint64)
-    if not len(keys):
-        return keys
+    labels = np.zeros((int(live.sum()), trees), np.uint64)
+    if not len(labels):
+        return labels
+    tail = np.uint64(LEVELS * LEVEL_BITS)
     with np.errstate(over="ignore"):
         for t in range(trees):
-            own = np.full(len(keys), t + 1, np.uint64)
+            own = np.full(len(labels), t + 1, np.uint64)
             for j in range(k):
-                v = low * odd[t * k + j] + add[t * k + j]
-                own = mix(own * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, starts).astype(np.uint64))
-            keys[:, t] = own
-    return keys
+                least = np.minimum.reduceat(low * odd[t * k + j] + add[t * k + j], starts).astype(np.uint64)
+                if j < root:
+                    own = mix(own * np.uint64(0x9E3779B97F4A7C15) + least)
+                    if j == root - 1:
+                        own = own >> tail << tail
+                else:
+                    own |= mix(least) >> np.uint64(64 - LEVEL_BITS) << np.uint64((root + LEVELS - 1 - j) * LEVEL_BITS)
+            labels[:, t] = own
+    return labels
 
 
-def sketched(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, row_key, k1, k2, n_grams, keys) of every row: 128 bits of the word sequence, and the bands' keys."""
+def sketched(docs: DataFrame, n: int, root: int) -> DataFrame:
+    """(doc_id, row_key, k1, k2, n_grams, labels) of every row: 128 bits of the word sequence, and a label for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hasher = Hasher()
-        for s, ws in _slices(batches, 2):
-            h, many = shingles(ws, n, hasher)
-            keys = np.zeros((len(ws), TREES), np.int64)
+        for s, buf, edge in scan.slices(batches, 2):
+            h, many, digest = shingles(buf, edge, n)
             live = many > 0
-            keys[live] = signatures(h, many, k).view(np.int64)
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in ws), "<i8").reshape(-1, 2)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(live, TREES, 0)))).astype(np.int32)), pa.array(keys[live].ravel()))
-            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(many), flat], names=["doc_id", "row_key", "k1", "k2", "n_grams", "keys"])
+            flat = signatures(h, many, root).view(np.int64)
+            digest = digest.view(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(live, TREES, 0)))).astype(np.int32)), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(many), flat], names=["doc_id", "row_key", "k1", "k2", "n_grams", "labels"])
+        tidy()
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string"))
-    return keyed.mapInArrow(run, "doc_id long, row_key long, k1 long, k2 long, n_grams long, keys array<long>")
+    return keyed.mapInArrow(run, "doc_id long, row_key long, k1 long, k2 long, n_grams long, labels array<long>")
+
+
+def _level(x: np.ndarray) -> np.ndarray:
+    """Levels of the common prefix of two labels, from their exclusive or: 0 at the root, -1 if not even that is shared."""
+    bits = LEVELS * LEVEL_BITS
+    return np.select([x >> np.uint64(bits) != 0, *[x >> np.uint64(bits - LEVEL_BITS * k) != 0 for k in range(1, LEVELS + 1)]], [-1, *range(LEVELS)], LEVELS)
+
+
+def trie_edges(live: DataFrame) -> DataFrame:
+    """(a, b, level): edges that join, at every level, the texts that share a prefix so long in some tree.
+
+    live(k1, labels) has each text once. Labels are sorted over the whole cluster, which lays out the tries' leaves.
+    Each leaf then shares its longest prefix with its neighbour, and is joined to the first leaf under that prefix:
+    one edge a leaf, and a star under each trie node. A node with very many leaves is several tasks; the seams are
+    mended from the first and the last leaf of each.
+    """
+    leaves = live.select(F.explode("labels").alias("label"), "k1")
+    leaves = leaves.select(F.col("label").bitwiseXOR(F.lit(-(1 << 63))).alias("label"), "k1")  # signed order is that of bits
+    spread = leaves.repartitionByRange("label", "k1").sortWithinPartitions("label", "k1")
+    tell = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("level", pa.int32()), ("label", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        heads = last = first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            if first is None:
+                first = (int(batch.column(0)[0].as_py()), int(node[0]))
+                heads = np.full(LEVELS + 1, node[0])
+                last = (label[0], node[0])
+            level = _level(label ^ np.concatenate(([last[0]], label[:-1])))
+            # the first leaf under each leaf's prefix of k levels: where that prefix last changed, or the head held over
+            at = np.arange(len(label))
+            head = np.empty((LEVELS + 1, len(label)), np.int64)
+            for k in range(LEVELS + 1):
+                new = np.maximum.accumulate(np.where(level < k, at, -1))
+                head[k] = np.where(new >= 0, node[new], heads[k])
+            heads, last = head[:, -1].copy(), (label[-1], node[-1])
+            # an edge to the head of the longest prefix that is shared with the leaf before
+            hit = np.flatnonzero(level >= 0)
+            to = head[level[hit], hit]
+            hit, to = hit[node[hit] != to], to[node[hit] != to]
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(to), pa.array(level[hit].astype(np.int32)), pa.nulls(len(hit), pa.int64())], schema=tell)
+        if first is not None:
+            end = (int(np.uint64(last[0]).astype(np.int64)), int(last[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([first[1], end[1]]), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), pa.array([first[0], end[0]])], schema=tell)
+
+    found = settle(spread.mapInArrow(run, "a long, b long, level int, label long"), "leaves")
+    edges = found.filter("b is not null").select("a", "b", "level")
+    seams = sorted((r[0], r[1]) for r in found.filter("b is null").select("label", "a").collect())
+    mended = []
+    for (x, a), (y, b) in zip(seams, seams[1:]):
+        level = int(_level(np.array([(x ^ y) & ((1 << 64) - 1)], np.uint64))[0])
+        if level >= 0 and a != b:
+            mended.append((b, a, level))
+    if mended:
+        edges = edges.unionByName(live.sparkSession.createDataFrame(mended, "a long, b long, level int"))
+    pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level")
+    return pair.groupBy("a", "b").agg(F.max("level").alias("level"))
 
 
 def gathered(docs: DataFrame, n: int) -> DataFrame:
@@ -92,12 +173,12 @@ def gathered(docs: DataFrame, n: int) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        hasher = Hasher()
-        for s, ws in _slices(batches, len(names)):
-            h, many = shingles(ws, n, hasher)
+        for s, buf, edge in scan.slices(batches, len(names)):
+            h, many, _ = shingles(buf, edge, n)
             ends = np.cumsum(many)
             sets = [np.unique(h[e - m : e]).astype("<u8").tobytes() for e, m in zip(ends.tolist(), many.tolist())]
             yield pa.RecordBatch.from_arrays([*[s.column(i) for i in range(len(names))], pa.array(sets, pa.binary())], names=[*names, "grams"])
+        tidy()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.select(*names, "text").mapInArrow(run, f"{kinds}, grams binary")
@@ -125,21 +206,25 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return inter
 
 
-def verify(nodes: DataFrame, similarity: float) -> DataFrame:
-    """From (part, i, j, mine, rep, n, grams): rows (a, null, links) summing copies linked, and (a, b, 0) that span the links."""
-    tell = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+def verify(nodes: DataFrame, similarity: float, root: int) -> DataFrame:
+    """From (part, i, j, mine, sub, rep, n, grams): rows (a, null, links, null) summing copies linked, (a, b, 0, null) that
+    span the links, and (null, null, 0, sums): the links found, and how many more a prefix of each length may have missed.
+
+    Texts of one `sub` have met before. A link whose texts meet with probability p stands for 1/p, so (1 - p) / p are
+    missing (the Horvitz-Thompson estimate).
+    """
+    tell = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("sums", pa.list_(pa.float64()))])
 
     def run(batches):
         for g in streamed_groups(batches, ["part", "i", "j"]):
             if g.num_rows < 2:
                 continue
-            rep, n, mine = (g.column(c).to_numpy() for c in ("rep", "n", "mine"))
+            rep, n, mine, sub = (g.column(c).to_numpy() for c in ("rep", "n", "mine", "sub"))
             sets = [np.frombuffer(x, "<u8") for x in g.column("grams").to_pylist()]
             size = np.array([len(s) for s in sets])
             inter = overlaps(sets)
             union = size[:, None] + size[None, :] - inter
-            link = inter >= similarity * union - 1e-9
-            np.fill_diagonal(link, False)
+            link = (inter >= similarity * union - 1e-9) & (sub[:, None] != sub[None, :])
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             if i != j:
                 link &= mine[:, None] != mine[None, :]
@@ -147,6 +232,9 @@ def verify(nodes: DataFrame, similarity: float) -> DataFrame:
             if not len(hit):
                 continue
             link = link[np.ix_(hit, hit)]
+            alike = (inter[np.ix_(hit, hit)][link] / union[np.ix_(hit, hit)][link])
+            shares = [found_share(alike, root + k) for k in range(LEVELS + 1)]
+            sums = [len(alike) / 2, *[float(((1 - p) / p).sum() / 2) for p in shares]]
             label = np.arange(len(hit))
             while True:
                 least = np.minimum(label, np.where(link, label[None, :], len(hit)).min(1))
@@ -155,13 +243,30 @@ def verify(nodes: DataFrame, similarity: float) -> DataFrame:
                     break
                 label = least
             far = np.flatnonzero(label != np.arange(len(hit)))
-            a = np.concatenate((rep[hit], rep[hit[far]]))
-            b = pa.array(np.concatenate((np.zeros(len(hit), np.int64), rep[hit[label[far]]])), mask=np.arange(len(a)) < len(hit))
-            c = np.concatenate((link @ n[hit], np.zeros(len(far), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], schema=tell)
+            a = np.concatenate((rep[hit], rep[hit[far]], [0]))
+            m = len(a)
+            b = pa.array(np.concatenate((np.zeros(len(hit), np.int64), rep[hit[label[far]]], [0])), mask=(np.arange(m) < len(hit)) | (np.arange(m) == m - 1))
+            c = np.concatenate((link @ n[hit], np.zeros(len(far) + 1, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, mask=np.arange(m) == m - 1), b, pa.array(c), pa.array([None] * (m - 1) + [sums], pa.list_(pa.float64()))], schema=tell)
         tidy()
 
-    return nodes.mapInArrow(run, "a long, b long, links long")
+    return nodes.mapInArrow(run, "a long, b long, links long, sums array<double>")
+
+
+def met(docs: DataFrame, nodes: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """Blocks of texts to verify, (part, i, j, mine, sub, rep, n, grams), from parts(node, component, sub): those with several subs."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"), F.min("sub").alias("low"), F.max("sub").alias("high")).filter("low < high").select("component", "size")
+    n_parts = parts.count()
+    parts = parts.join(small(sizes, n_parts // 2), "component")
+    chosen = nodes.join(small(parts, n_parts), F.col("k1") == F.col("node"))
+    chosen = settle(chosen.select(F.col("row_key").alias("_key"), "k2", "rep", "n", F.col("component").alias("part"), "sub", "size"), "chosen")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(small(chosen, chosen.count()), F.col("row_key") == F.col("_key")).select("part", "sub", "size", "k2", "rep", "n", "text")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    sets = gathered(texts, n).withColumn("mine", F.pmod("k2", blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    sets = sets.select("part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sub", "rep", "n", "grams")
+    # a row repeated in the input (the same id and text) is one text, counted in n
+    return _once(sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep"))
 
 
 def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -171,38 +276,39 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     of 1 to n-1 words has one n-gram, of all its words. n_links counts the other rows linked to a row, copies too;
     class_id is the smallest id reachable over links; kept marks the rows that bear it.
 
-    Rows of one word sequence are one text, sent on once. Fixed bands of MinHash values propose groups: each text
-    sends one key a band, and only keys that two texts share go on. The groups' connected parts are then verified
-    exactly, in blocks of texts against texts; counts and a spanning set of links come out, not pairs.
+    Rows of one word sequence are one text, sent on once. Texts are the leaves of TREES tries over their MinHash
+    signatures, laid out by one sort. Texts that share the longest prefixes come first: they are joined to parts, whose
+    pairs are verified exactly, in blocks of texts against texts. Then the prefix is shortened by a value, and the pairs
+    that now come together are verified, until the links found say that under 1 - RECALL of all are missing, or the
+    prefix is so short that no similarity asked for could lose more. Counts and a spanning set of links come out of a
+    block, not pairs.
 
     Texts without a word link to nothing and are their own class. A row with a null id goes under a hash of its text.
     Rows that share an id are one class if their texts are. An empty table gives no rows; other columns are ignored.
     """
     few_rows(docs.sparkSession)
-    k = depth(similarity)
-    rows = settle(sketched(docs, n, k).withColumn("sid", F.coalesce("doc_id", "row_key")), "forest")
+    root = root_depth(similarity)
+    rows = settle(sketched(docs, n, root).withColumn("sid", F.coalesce("doc_id", "row_key")), "forest")
     live = rows.filter("n_grams > 0")
-    nodes = live.groupBy("k1", "k2").agg(F.min("sid").alias("rep"), F.count("*").alias("n"), F.min(F.struct("sid", "row_key")).alias("pick"))
-    nodes = settle(nodes.select("k1", "k2", "rep", "n", F.col("pick.row_key").alias("row_key")), "texts")
-    entries = live.select("k1", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("key", "low")
-    shared = settle(shared, "keys")
-    met = entries.join(small(shared, shared.count()), "key").filter("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b"))
-    parts = settle(components(met), "parts")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    n_parts = parts.count()
-    parts = parts.join(small(sizes, n_parts // 2), "component")
-    chosen = nodes.join(small(parts, n_parts), F.col("k1") == F.col("node"))
-    chosen = settle(chosen.select(F.col("row_key").alias("_key"), "k2", "rep", "n", F.col("component").alias("part"), "size"), "chosen")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(small(chosen, n_parts), F.col("row_key") == F.col("_key")).select("part", "size", "k2", "rep", "n", "text")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    sets = gathered(texts, n).withColumn("mine", F.pmod("k2", blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    sets = sets.select("part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "grams")
-    # a row repeated in the input (the same id and text) is one text, counted in n
-    sets = sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep")
-    found = settle(verify(_once(sets), similarity), "links")
-    links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    nodes = live.groupBy("k1", "k2").agg(F.min("sid").alias("rep"), F.count("*").alias("n"), F.min(F.struct("sid", "row_key")).alias("pick"), F.first("labels").alias("labels"))
+    nodes = settle(nodes.select("k1", "k2", "rep", "n", F.col("pick.row_key").alias("row_key"), "labels"), "texts")
+    edges = settle(trie_edges(nodes.select("k1", "labels")), "tries")
+    found, before = None, None
+    sums = np.zeros(LEVELS + 2)
+    for level in range(LEVELS, -1, -1):
+        parts = settle(components(edges.filter(F.col("level") >= level).select("a", "b")), "parts")
+        if before is None:
+            named = parts.withColumn("sub", F.col("node"))
+        else:
+            known = before.select(F.col("node").alias("_n"), F.col("component").alias("_sub"))
+            named = parts.join(known, F.col("node") == F.col("_n"), "left").select("node", "component", F.coalesce("_sub", "node").alias("sub"))
+        new = settle(verify(met(docs, nodes, settle(named, "parts"), n), similarity, root), "links")
+        got = new.filter("sums is not null").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0.0)) for k in range(LEVELS + 2)]).first()
+        sums += np.array(got)
+        found, before = new if found is None else found.unionByName(new), parts
+        if sums[1 + level] <= (1 - RECALL) * sums[0]:
+            break
+    links = found.filter("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     known = nodes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(classes, "rep", "left")
     known = known.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "rep").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
@@ -217,7 +323,7 @@ def _once(sets: DataFrame) -> DataFrame:
     def run(batches):
         last = None
         for b in batches:
-            key = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "i", "j", "mine", "rep", "grams"))))
+            key = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "i", "j", "mine", "sub", "rep", "grams"))))
             keep = [k != p for k, p in zip(key, [last, *key[:-1]])]
             last = key[-1] if key else last
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,69 +14,181 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import few_rows, settle, tidy
+from . import scan
+from .common import few_rows, held, settle, tidy
 
-#: Entries of each cache of a worker; beyond it the older half goes, so memory is bounded.
-CACHE = 150_000
+#: Entries of each generation of a worker's cache; beyond it the older one goes, so memory is bounded.
+CACHE = 100_000
 #: How the tokenizer of word_bpe_49k.json divides lower-case text (its own pattern, fixed values, for the letters below).
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
-#: Characters whose lower case and normal form are plain: printable ASCII and Latin letters with marks.
+#: Characters whose lower case and normal form are plain and as long: printable ASCII, Latin letters with marks; with white space.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ňŊ-ſ]+")
-_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
-#: Byte-level models write each byte as a character: itself if it prints, else the next from U+0100.
-BYTE_CHARS = dict(zip([b for b in range(256) if b not in _KEPT], map(chr, range(256, 512)))) | {b: chr(b) for b in _KEPT}
-
-
-class Recent(dict):
+PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-įıĲ-ňŊ-ſ]*")
+_HIDDEN = [*range(33), 127, *range(128, 161), 173]
+#: Byte-level models write each byte as a character (here its code): itself if it prints, else the next from U+0100. A
+#: blank, which no piece holds, stays one.
+BYTE_CHARS = np.arange(256, dtype="<u2")
+BYTE_CHARS[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+BYTE_CHARS[32] = 32
+#: Classes of bytes of lower-case plain text: white space, letter (any byte of a marked letter too), digit, other.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+
+
+class Recent:
     """A dictionary that forgets what was not asked for lately: two generations, of which the older is dropped."""
 
     def __init__(self, most: int, make):
-        self.most, self.make, self.old = most, make, {}
-
-    def __missing__(self, k):
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        v = self.old.pop(k, None)
-        self[k] = v = self.make(k) if v is None else v
-        return v
+        self.most, self.make, self.new, self.old = most, make, {}, {}
+
+    def __call__(self, keys: list) -> list:
+        """The values of distinct keys; make() gives all the missing ones in one call."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, keys))
+        lost = [i for i, v in enumerate(got) if v is None]
+        for i in lost:
+            got[i] = self.old.get(keys[i])
+        unknown = [i for i in lost if got[i] is None]
+        for i, v in zip(unknown, self.make([keys[i] for i in unknown]) if unknown else ()):
+            got[i] = v
+        self.new.update([(keys[i], got[i]) for i in lost])
+        return got
+
+
+def divided(buf: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces (see PIECES) of lower-case plain texts that lie end to end in buf."""
+    n = len(buf)
+    kind = np.full(n + 1, _SPACE, np.uint8)
+    kind[:n] = _KIND[buf]
+    new_text = np.zeros(n + 1, bool)
+    new_text[edge] = True
+    before = np.concatenate((np.full(1, _SPACE, np.uint8), kind[:-1]))
+    before[new_text] = _SPACE
+    start = (kind != _SPACE) & ((kind != before) | (kind == _DIGIT))
+    # a quote mark that begins a piece, with one of seven endings after it, is a piece of two or three bytes
+    at = np.flatnonzero((buf == 39) & (before[:n] != _OTHER))
+    if len(at):
+        stop = edge[np.searchsorted(edge, at, "right")]
+        x, y = (buf[np.minimum(at + k, n - 1)] for k in (1, 2))
+        short = np.isin(x, list(b"stmd")) & (at + 1 < stop)
+        long_ = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))) & (at + 2 < stop)
+        for hit, size in ((short, 2), (long_, 3)):
+            start[at[hit] + 1] = False
+            after = at[hit] + size
+            start[after] |= kind[after] != _SPACE
+    end = np.zeros(n + 1, bool)
+    end[1:] = (kind[:-1] != _SPACE) & (start[1:] | (kind[1:] == _SPACE) | new_text[1:])
+    return np.flatnonzero(start), np.flatnonzero(end)
+
+
+def alike(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each distinct string, number of each string among them), by hashes that are then compared in full."""
+    _, first, of = np.unique(scan.hashes(buf, start, end, 1)[0], return_index=True, return_inverse=True)
+    size, like = end - start, first[of]
+    same = size[like] == size
+    if same.all():
+        here = np.arange(int(size.sum()))
+        gap = start - (np.cumsum(size) - size)
+        same = buf[np.repeat(gap, size) + here] == buf[np.repeat(gap + (start[like] - start), size) + here]
+    return (first, of) if same.all() else (np.arange(len(start)), np.arange(len(start)))
 
 
 class Coder:
-    """Token ids of whole texts as packed 32-bit numbers.
+    """Token ids of whole texts.
 
     The tokenizer's pieces never cross white space (its splitter drops it), so a text's ids are those of its words in
-    turn. Words of PLAIN characters are divided into pieces here, and each piece is encoded by the tokenizer's model, if
-    that agrees with the whole tokenizer on a probe text; other words go through the whole tokenizer.
+    turn. Plain texts are divided into pieces here, as arrays, and the distinct pieces are encoded by the tokenizer's
+    model, many in a call, if that agrees with the whole tokenizer on a probe text; other words go through the whole
+    tokenizer. A piece's ids depend on the piece alone, so caches change no result.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.pieces, self.words = Recent(CACHE, self.piece), Recent(CACHE, self.word)
-        self.divides = False
+        self.words, self.pieces = Recent(CACHE, self._whole), Recent(CACHE, self._parts)
+        told = json.loads(spec)
+        self.divides = told["model"].get("type") == "BPE" and told["model"].get("end_of_word_suffix") == "</w>"
+        if not self.divides:
+            return
+        vocab = told["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
+        self.model = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         plain = [c for c in map(chr, range(33, 0x180)) if PLAIN.fullmatch(c)]
-        probe = "Don't we'LL 3x42 #a_b! (see) I'm \"x's\" re's A1b2 'd ÉCOLE's Straße, naïve; œuvre " + " ".join(plain) + " " + "".join(plain) + " " + "-".join(plain)
-        whole = [self.word(w) for w in probe.encode().split()]
-        self.divides = True
-        self.divides = whole == [self.word(w) for w in probe.encode().split()]
-        self.words.clear()
-
-    def piece(self, x: str) -> bytes:
-        ids = [t.id for t in self.tok.model.tokenize("".join([BYTE_CHARS[b] for b in x.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, w: bytes) -> bytes:
-        if self.divides and b"<|" not in w:  # special tokens have that form
-            s = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s):
-                return b"".join([self.pieces[x] for x in PIECES.findall(s.lower())])
-        ids = self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: bytes | None, end: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split() if text else ())) + end
+        probe = "Don't we'LL 3x42 #a_b! (see) I'm \"x's\" re's A1b2 'd ÉCOLE's Straße, naïve; œuvre ''s 's're a''ve " + " ".join(plain) + " " + "".join(plain) + " " + "-".join(plain)
+        buf = np.frombuffer(probe.lower().encode(), np.uint8)
+        try:
+            self.divides = self._plain(buf, np.array([0, len(buf)])) == [b"".join(self._whole(probe.split()))]
+        except ValueError:
+            self.divides = False
+
+    def _whole(self, ws: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(ws, add_special_tokens=False)]
+
+    def _parts(self, xs: list[bytes]) -> list[bytes]:
+        shown = BYTE_CHARS[np.frombuffer(b" ".join(xs), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()  # the last token of each piece says so
+        if len(ends) != len(xs):
+            raise ValueError("the model joins or drops pieces")
+        raw = ids.tobytes()
+        return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+    def _plain(self, buf: np.ndarray, edge: np.ndarray) -> list[bytes]:
+        """Ids of lower-case plain texts."""
+        start, end = divided(buf, edge)
+        first, of = alike(buf, start, end)
+        raw = buf.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        distinct = dict.fromkeys(keys)  # as many as keys but for a clash of hashes
+        distinct = dict(zip(distinct, self.pieces(list(distinct))))
+        got = [distinct[k] for k in keys]
+        ids = np.frombuffer(b"".join(got), "<u4")
+        size = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        n, at = size[of], (np.cumsum(size) - size)[of]
+        stop = np.cumsum(n)
+        flat = ids[np.repeat(at - (stop - n), n) + np.arange(int(n.sum()))]
+        cut = np.concatenate(([0], stop))[np.searchsorted(start, edge)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _mixed(self, text: str) -> bytes:
+        """Ids of a text that is not plain: its plain words by pieces, the others by the whole tokenizer."""
+        keys: list = []
+        for w in map(bytes.decode, text.encode().split()):
+            if self.divides and "<|" not in w and PLAIN.fullmatch(w):  # special tokens have that form
+                keys += map(str.encode, PIECES.findall(w.lower()))
+            else:
+                keys.append(w)
+        parts, whole = ([k for k in dict.fromkeys(keys) if isinstance(k, kind)] for kind in (bytes, str))
+        of = dict(zip(parts, self.pieces(parts) if parts else ())) | dict(zip(whole, self.words(whole)))
+        return b"".join(map(of.__getitem__, keys))
+
+    def encode(self, buf: np.ndarray, edge: np.ndarray) -> list[bytes]:
+        """Packed 32-bit ids of each of the texts that lie end to end in buf."""
+        if len(edge) == 2 and len(buf) > 4 * scan.SLICE:
+            return [b"".join(x for part in _cut(buf) for x in self.encode(part, np.array([0, len(part)])))]
+        text = buf.tobytes().decode("utf-8", "replace")
+        if self.divides and "<|" not in text and PLAIN_TEXT.fullmatch(text):
+            return self._plain(np.frombuffer(text.lower().encode(), np.uint8), edge)
+        if len(edge) > 2:
+            return [x for a, b in zip(edge.tolist(), edge[1:].tolist()) for x in self.encode(buf[a:b], np.array([0, b - a]))]
+        return [self._mixed(text)]
+
+
+def _cut(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of about 2 * scan.SLICE bytes that end where a word does."""
+    gaps = np.flatnonzero(_KIND[buf] == _SPACE)
+    lo = 0
+    while lo < len(buf):
+        k = int(np.searchsorted(gaps, lo + 2 * scan.SLICE))
+        hi = int(gaps[k]) if k < len(gaps) else len(buf)
+        yield buf[lo:hi]
+        lo = hi
 
 
 def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
@@ -88,17 +200,16 @@ def pieces_of(docs: DataFrame, spec: str, limit: int, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        coder = Coder(shared.value)
-        for b in batches:
+        text = shared.value
+        coder = held(f"coder {zlib.crc32(text.encode())} {len(text)}", lambda: Coder(text))
+        for b, buf, edge in scan.slices(batches, 1, 2 * scan.SLICE):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1).cast(pa.binary()))):
-                ids = coder.encode(text, end)
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(buf, edge)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        del coder
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -144,13 +255,31 @@ def best_pair(stock: Stock, room: int) -> tuple[int, int]:
     return best
 
 
+def between(stock: Stock, j: int, pair: tuple[int, int]) -> list[float]:
+    """The two smallest pieces longer than the shorter of the pair, besides j and the longer; infinite if there are not two.
+
+    Only two such pieces could fill the room beside j and not be replaced, one by one, by the pair.
+    """
+    a, b = pair
+    stock.n[j] -= 1
+    stock.n[a] -= 1
+    out: list[float] = []
+    for length in (b + 1 + np.flatnonzero(stock.n[b + 1 :])).tolist():
+        out += [length] * min(2 - len(out), int(stock.n[length]))
+        if len(out) == 2:
+            break
+    stock.n[j] += 1
+    stock.n[a] += 1
+    return out if len(out) == 2 else [np.inf]
+
+
 def plan(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, how many such sequences) for counts[length] pieces, using every piece once.
 
     First the reduction of Martello and Toth: from the longest piece down, with k the number of the smallest pieces
     that fit beside it, a set is fixed for good where it dominates every other set holding that piece: alone (k = 0);
-    with its largest partner (k = 1, or the sequence is then full, or k = 2 and no pair is larger); or with a pair that
-    no other set beats. A whole run of equal lengths is fixed at a time. What is left is packed best-fit, longest first,
+    with its largest partner (k = 1, or the sequence is then full, or k = 2 and no pair is larger); or (k = 2) with the
+    pair of the largest sum, if that has the largest partner and no two of the pieces between the pair's fit beside it. A whole run of equal lengths is fixed at a time. What is left is packed best-fit, longest first,
     again a run at a time, so the work depends on the number of lengths, not on the number of pieces.
     """
     stock, out = Stock(counts), []
@@ -177,7 +306,7 @@ def plan(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
             elif k == 1 or j + mate == limit or (k == 2 and mate >= sum(pair)):
                 # Removing pieces leaves no new partner, so the rule holds for every copy while the mate lasts.
                 fix((j, mate), times_of((j, mate)))
-            elif k == 2 and sum(pair) == room and pair[0] == mate:
+            elif k == 2 and pair[0] == mate and j + sum(between(stock, j, pair)) > limit:
                 fix((j, *pair), times_of((j, *pair)))
             else:
                 break

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buckets_for, few_rows, restored, runs, text_bytes, tidy, words
+from . import scan
+from .common import aside, buckets_for, few_rows, forget, held as kept, restored, runs, text_bytes, tidy, words
 
 #: Bits of a sketch row's width at least and at most (2 rows of 2**28 one-bit results: 64 MB broadcast, whatever the corpus).
 LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
@@ -21,32 +21,6 @@ LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
 SHARDS = 64
 #: Windows that a task holds before it hands them on.
 HELD = 1_000_000
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 100_000
-
-
-class Hasher:
-    """Two 64-bit hashes of each word, kept for frequent words."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.h = np.zeros((0, 2), np.uint64)
-
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        at = self.at
-        if len(at) > CACHE_WORDS:
-            self.clear()
-            at = self.at
-        new = [w for w in set(ws) if w not in at]
-        if new:
-            base = len(at)
-            at.update(zip(new, range(base, base + len(new))))
-            got = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), np.uint64).reshape(-1, 2)
-            self.h = np.concatenate((self.h, got))
-        return self.h[np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))]
 
 
 def rolled(h: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -68,19 +42,18 @@ def rolled(h: np.ndarray, n: int, base: int) -> np.ndarray:
         return out * np.uint64(0xBF58476D1CE4E5B9) ^ (out >> np.uint64(32))
 
 
-def windows(ws_of: list[list[bytes]], n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first hash, second hash, document's index, position) of every window that lies within one document."""
-    lens = np.array([len(w) for w in ws_of], np.int64)
-    h = hasher([w for ws in ws_of for w in ws])
-    if len(h) < n:
+def windows(buf: np.ndarray, edge: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash, document's index, position) of every window that lies within one text of buf."""
+    start, end, lens = scan.words(buf, edge)
+    if len(start) < n:
         e = np.zeros(0, np.uint64)
         return e, e, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    a, b = rolled(np.ascontiguousarray(h[:, 0]), n, 0x9E3779B97F4A7C15), rolled(np.ascontiguousarray(h[:, 1]), n, 0xD1B54A32D192ED03)
+    h = scan.hashes(buf, start, end)
+    a, b = rolled(h[0], n, 0x9E3779B97F4A7C15), rolled(h[1], n, 0xD1B54A32D192ED03)
     many = np.maximum(lens - n + 1, 0)
     doc = np.repeat(np.arange(len(lens)), many)
     pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    at = starts[doc] + pos
+    at = np.repeat(np.cumsum(lens) - lens, many) + pos
     return a[at], b[at], doc, pos
 
 
@@ -102,22 +75,6 @@ def cells(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text_at: int):
-    """(slice, words of each text): about 200,000 words or 500 rows at a time, so very long texts stay bounded."""
-    for b in batches:
-        texts = b.column(text_at).cast(pa.binary()).to_pylist()
-        lo, held, n = 0, [], 0
-        for i, t in enumerate(texts):
-            held.append(words(t))
-            n += len(held[-1])
-            if n >= 200_000 or len(held) >= 500:
-                yield b.slice(lo, len(held)), held
-                lo, held, n = i + 1, [], 0
-        if held:
-            yield b.slice(lo, len(held)), held
-    tidy()
-
-
 def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
     """(row, shard, compressed bits): which cells of each row of the merged count-min sketch count two or more.
 
@@ -128,7 +85,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
 
     def partial(batches):
         forget()
-        hasher, held, total = Hasher(), [], 0
+        held, total = [], 0
 
         def out():
             rows, shards, ones, manys = [], [], [], []
@@ -144,8 +101,8 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
                         rows.append(row), shards.append(s), ones.append(packed(x[~m])), manys.append(packed(x[m]))
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(shards, pa.int32()), pa.array(ones, pa.binary()), pa.array(manys, pa.binary())], names=["row", "shard", "ones", "manys"])
 
-        for _, ws in _slices(batches, 0):
-            a, b, _, _ = windows(ws, n, hasher)
+        for _, buf, edge in scan.slices(batches, 0):
+            a, b, _, _ = windows(buf, edge, n)
             if len(a):
                 held.append((cells(a, bits), cells(b, bits)))
                 total += len(a)
@@ -181,25 +138,17 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
     return [(r[0], r[1], bytes(r[2])) for r in merged.collect()]
 
 
-_open: dict[str, np.ndarray] = {}
-
-
 def opened(tag: str, parts: list[tuple[int, int, bytes]], bits: int) -> np.ndarray:
     """The sketch's bits, unpacked once in each worker."""
-    if tag not in _open:
-        _open.clear()
+
+    def make():
         each = (1 << bits) // SHARDS // 8
         b = np.zeros((ROWS, each * SHARDS), np.uint8)
         for row, s, data in parts:
             b[row, s * each : (s + 1) * each] = np.frombuffer(zstandard.decompress(data), np.uint8)
-        _open[tag] = b
-    return _open[tag]
-
+        return b
 
-def forget() -> None:
-    """Drop a worker's sketch: no later stage reads it. (Tasks call this by name, so it acts on the worker's own copy.)"""
-    _open.clear()
-    tidy()
+    return kept(tag, make)
 
 
 def _hit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -219,7 +168,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def local(batches):
-        hasher, held, total = Hasher(), [], 0
+        held, total = [], 0
         sketch_ = opened(tag, shared.value, bits)
 
         def out():
@@ -249,8 +198,8 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
                 if rows:
                     yield _batch(rows)
 
-        for s, ws in _slices(batches, 2):
-            a, b, d, p = windows(ws, n, hasher)
+        for s, buf, edge in scan.slices(batches, 2):
+            a, b, d, p = windows(buf, edge, n)
             if not len(a):
                 continue
             hit = _hit(sketch_[0], cells(a, bits)) & _hit(sketch_[1], cells(b, bits))

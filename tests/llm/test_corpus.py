@@ -262,7 +262,7 @@ def test_jaccard(spark, docs, rows):
     left = jaccard.kept_rows(docs, jaccard.join(docs)).count()
     assert left == len({label[i] for i in range(len(rows)) if grams[i]}) + sum(not g for g in grams)
     assert jaccard.join(empty(spark)).count() == 0
-    assert jaccard.depth(0.8) == 5
+    assert jaccard.root_depth(0.8) == 5
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
