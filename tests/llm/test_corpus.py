@@ -93,18 +93,76 @@ def test_language_model(spark, docs, rows):
         assert (g.n_tokens, g.n_known) == (k, known) and g.base_score == pytest.approx(base)
     assert (got.score <= 0).all() and got.score[~got.held_out].sum() > got.base_score[~got.held_out].sum()
     assert lm.score(empty(spark)).count() == 0
-
-
-def test_seats_keep_customers():
-    n = np.array([1, 2, 5, 40, 900])
-    s = lm.Seats(n, np.random.default_rng(0))
-    for _ in range(5):
-        s.sweep(np.full(5, 0.5), 0.5)
-    for i, m in enumerate(s.m):
-        sizes = s.size[s.off[i] : s.off[i] + m]
-        assert sizes.sum() == m and (sizes > 0).sum() == s.seated[i]
-    t = s.tables(np.full(5, 0.5), 0.5)
-    assert t[0] == 1 and (t <= n).all() and t[4] > t[2]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = lm.score(docs).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.allclose(again.score, got.score, rtol=1e-9)  # whatever the cluster
+    for r in lm.perplexity(lm.score(docs)).collect():
+        own = got[got.held_out == r.held_out]
+        assert r.perplexity == pytest.approx(10 ** (-own.score.sum() / own.n_tokens.sum()))
+
+
+def test_crowds_keep_customers():
+    n = np.array([70, 100, 900])
+    s = lm.Crowd(n, np.full(3, 0.5), np.random.default_rng(0))
+    for want in (n, n + [100, -60, 3], n):
+        t = s.sweep(want, np.full(3, 0.5))
+        which = np.repeat(np.arange(3), s.room)
+        assert np.bincount(which, s.sizes).tolist() == want.tolist() and np.bincount(which, s.sizes > 0).tolist() == t.tolist()
+
+
+def test_tables_follow_their_conditional():
+    """Both samplers against weights that are counted out: every way to seat 6 customers, one after another."""
+    d, open_, rng_ = lm.DISCOUNT, 0.8, np.random.default_rng(1)
+    weight = Counter()
+
+    def seat(sizes, w, left):
+        if not left:
+            weight[len(sizes)] += w
+            return
+        for k, x in enumerate(sizes):
+            seat([*sizes[:k], x + 1, *sizes[k + 1 :]], w * (x - d), left - 1)
+        seat([*sizes, 1], w * open_, left - 1)
+
+    seat([], 1.0, 6)
+    share = np.array([weight[t] for t in range(1, 7)]) / sum(weight.values())
+    m = 40_000
+    got = lm.drawn(np.full(m, 6), np.full(m, np.log(open_)), np.ones(m), 0.0, rng_)
+    assert np.abs(np.bincount(got, minlength=7)[1:] / m - share).max() < 0.02
+    crowd = lm.Crowd(np.full(m, 6), np.full(m, open_), rng_)
+    got = crowd.sweep(np.full(m, 6), np.full(m, open_))
+    assert np.abs(np.bincount(got, minlength=7)[1:] / m - share).max() < 0.02
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_probabilities_sum_to_one(seed):
+    """Words dealt to three models and a driver's, as score() does: after each context they sum to one."""
+    r = np.random.default_rng(seed)
+    words_, contexts = 400, 12
+    pairs = np.minimum(r.zipf(1.3, (30_000, 2)) - 1, [words_ - 1, contexts - 1])
+    n = np.zeros((words_, contexts), int)
+    np.add.at(n, (pairs[:, 0], pairs[:, 1]), 1)
+    v, models, whole = int((n.sum(1) > 0).sum()), [], n.sum()
+    for k, own in enumerate([np.arange(3), *[np.arange(3 + k, words_, 3) for k in range(3)]]):
+        w, c = np.nonzero(n[own])
+        models.append((own, w, c, lm.Model(w, c, n[own][w, c], len(own), contexts, whole / max(n[own].sum(), 1), v, k)))
+    total = models[0][3].sums(contexts)
+    for m in models[1:]:
+        for key, x in m[3].sums(contexts).items():
+            total[key] = total[key] + x
+    total["V"] = float(v)
+    assert total["c"].tolist() == n.sum(0).tolist()
+    back, p = lm.back_off(total), np.zeros((words_, contexts))
+    for own, w, c, m in models:
+        here = np.einsum("sc,sw->wc", back, m.parents(total)) / lm.SAMPLES
+        here[w, c] += m.own(total)
+        p[own] = here
+    seen = n.sum(1) > 0
+    unknown = np.mean(back * ((lm.STRENGTH + lm.DISCOUNT * total["T0"]) / (total["V"] + 1) / (lm.STRENGTH + total["C0"]))[:, None], 0)
+    assert np.abs(p[seen].sum(0) + unknown - 1).max() < 1e-9 and (p > 0).all()
+    # frequent pairs come near their shares
+    big = n > 300
+    assert np.abs(p[big] / (n / n.sum(0))[big] - 1).max() < 0.05
 
 
 def linked(a):
