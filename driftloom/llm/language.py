@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, few_rows
+from .common import crc_mod, few_rows, settle
 
 #: Hash slots of n-grams of one, two and three bytes of lower-cased text.
 SLOTS = 1 << 13
-#: The most languages that are learned, by training documents; a table of SLOTS counts for each reaches the driver.
-LANGUAGES = 256
+#: Languages whose counts a task holds before it hands them on.
+HELD = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -41,9 +41,11 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         return np.concatenate((np.zeros((1, len(bits)), int), rest)).astype(np.int8) * 2 - 1
     rng = np.random.default_rng(seed)
     n, best, far = int(np.ceil(15 * np.log2(k))), None, -1
-    for _ in range(200):
+    for _ in range(200 if k <= 256 else 1):  # random words of so many bits lie far apart without a search
         code = np.where(rng.random((k, n)) < 0.5, -1, 1).astype(np.int8)
         code = code[:, np.abs(code.sum(0)) < k]  # a bit must split the languages
+        if k > 256:
+            return code
         d = (code[:, None] != code[None]).sum(2) + 10**6 * np.eye(k, dtype=int)
         if d.min() > far:
             best, far = code, d.min()
@@ -69,44 +71,79 @@ class Model:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, docs, grams): n-gram counts of whole texts by language, summed in each task before the shuffle."""
+    """(lang, slot, n): n-gram counts of whole texts by language, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        sums: dict[str, list] = {}
+        sums: dict[str, np.ndarray] = {}
+
+        def out():
+            langs, v = list(sums), np.stack(list(sums.values()))
+            at, slot = np.nonzero(v)
+            return pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(at)), pa.array(slot), pa.array(v[at, slot])], names=["lang", "slot", "n"])
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = sums.setdefault(lang, [0, np.zeros(SLOTS, np.int64)])
-                own[0] += 1
-                own[1] += slots(text)
+                if lang not in sums and len(sums) >= HELD:
+                    yield out()
+                    sums.clear()
+                sums[lang] = sums.get(lang, 0) + slots(text)
         if sums:
-            at = [(k, i, int(v[1][i]), v[0] if i == 0 else 0) for k, v in sums.items() for i in range(SLOTS) if v[1][i] or i == 0]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*at)], names=["lang", "slot", "n", "docs"])
+            yield out()
 
     kept = docs.filter("lang is not null and text is not null").select("lang", "text")
-    got = kept.mapInArrow(run, "lang string, slot long, n long, docs long").groupBy("lang", "slot").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return got
+    return kept.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
-def learn(train: DataFrame, most: int = LANGUAGES) -> Model:
-    """The model of all training rows (lang, text): for each bit, log ratios of smoothed n-gram shares of its two sides."""
-    from .common import settle
+def learn(train: DataFrame) -> Model:
+    """The model of all training rows (lang, text): for each bit, log ratios of smoothed n-gram shares of its two sides.
 
+    Every language is learned and weighs the same. Their counts stay on the executors, which sum the shares of each
+    bit's sides; the driver holds SLOTS numbers a bit, and a name, a codeword and a margin a bit of each language.
+    """
+    spark = train.sparkSession
     table = settle(counts(train), "grams")
-    langs = sorted(r[0] for r in table.groupBy("lang").agg(F.sum("docs").alias("d")).orderBy(F.desc("d"), "lang").limit(most).select("lang").collect())
-    if not langs:
-        return Model([], np.ones((0, 1), np.int8), np.zeros((SLOTS, 1)), np.zeros(1), np.ones(1))
-    at = {x: i for i, x in enumerate(langs)}
-    n = np.zeros((len(langs), SLOTS))
-    for r in table.filter(F.col("lang").isin(langs)).select("lang", "slot", "n").collect():
-        n[at[r[0]], r[1]] = r[2]
-    share = (n + 0.5) / (n + 0.5).sum(1, keepdims=True)  # each language weighs the same, however rare
+    size = sorted((r[0], r[1]) for r in table.groupBy("lang").agg(F.sum("n")).collect())
+    langs = [x for x, _ in size]
     code = codewords(len(langs))
-    if len(langs) == 1:
+    if len(langs) < 2:
         return Model(langs, code, np.zeros((SLOTS, 1)), np.ones(1), np.ones(1))
-    up = np.stack([share[code[:, b] > 0].mean(0) for b in range(code.shape[1])], 1)
-    down = np.stack([share[code[:, b] < 0].mean(0) for b in range(code.shape[1])], 1)
-    w = np.log(up / down)
-    centre = share @ w  # mean margin of each language at each bit
+    whole = np.array([n for _, n in size]) + 0.5 * SLOTS
+    bits = code.shape[1]
+    side = np.stack([(code > 0) / (code > 0).sum(0), (code < 0) / (code < 0).sum(0)], 1)  # language, side, bit
+    shared = spark.sparkContext.broadcast(({x: i for i, x in enumerate(langs)}, whole, side))
+    few = table.coalesce(16)
+
+    def tally(batches: Iterator[pa.RecordBatch]):
+        at, whole_, side_ = shared.value
+        sums = np.zeros((SLOTS, 2, bits))
+        for b in batches:
+            i = np.array([at[x] for x in b.column(0).to_pylist()], np.int64)
+            for lo in range(0, len(i), 4096):
+                k = i[lo : lo + 4096]
+                np.add.at(sums, b.column(1).to_numpy()[lo : lo + 4096], (b.column(2).to_numpy()[lo : lo + 4096] / whole_[k])[:, None, None] * side_[k])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    shares = np.sum([np.frombuffer(r[0]).reshape(SLOTS, 2, bits) for r in few.mapInArrow(tally, "sums binary").collect()], 0)
+    shares = np.round(shares + np.einsum("l,lsb->sb", 0.5 / whole, side), 12)
+    w = np.log(shares[:, 0] / shares[:, 1])
+    shared_w = spark.sparkContext.broadcast(w)
+
+    def middle(batches: Iterator[pa.RecordBatch]):
+        at, whole_, _ = shared.value
+        w_, sums = shared_w.value, {}
+        for b in batches:
+            n, slot = b.column(2).to_numpy(), b.column(1).to_numpy()
+            i = np.array([at[x] for x in b.column(0).to_pylist()], np.int64)
+            for k in np.unique(i).tolist():
+                own = np.flatnonzero(i == k)
+                sums[k] = sums.get(k, 0) + (n[own] / whole_[k]) @ w_[slot[own]]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+
+    centre = (0.5 / whole)[:, None] * w.sum(0)  # mean margin of each language at each bit
+    for k, v in few.mapInArrow(middle, "lang int, v array<double>").collect():
+        centre[k] += v
+    centre = np.round(centre, 10)
     high, low = np.where(code > 0, centre, np.inf).min(0), np.where(code < 0, centre, -np.inf).max(0)
     return Model(langs, code, w, -(high + low) / 2, np.maximum((high - low) / 2, 1e-3))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, few_rows, settle
 
 #: Labelled rows of each class that are learned from (every other one goes to the dictionary, the rest calibrate), and
-#: parts that a dictionary is trained on: of each text, wherever they stand in it, and of each class; both picked by hash.
-SAMPLE_DOCS, DOC_PARTS, DICTIONARY_PARTS = 3000, 4, 4000
+#: parts of all texts of a class that its dictionary is trained on, picked by hash.
+SAMPLE_DOCS, DICTIONARY_PARTS = 3000, 4000
 #: Bytes of a dictionary, and of the parts in which whole texts are compressed.
 DICTIONARY_BYTES, PART_BYTES, LEVEL = 1 << 16, 1 << 12, 3
 
@@ -54,7 +54,7 @@ class Sizer:
         return [(b - g) / (b + g), g / n, n / len(text), np.log1p(len(text))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Weighted logistic regression by Newton's method; the first column is the constant."""
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -72,24 +72,23 @@ def split(text: bytes) -> list[bytes]:
 
 
 def dictionary(parts: list[bytes]) -> bytes:
-    """A dictionary of the parts: trained where the library can, else their first bytes."""
+    """A dictionary of the parts: trained where the library can, else as many whole parts as it holds, in their order."""
     import zstandard as zstd
 
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except (zstd.ZstdError, ValueError):  # too few or too short samples
-        return b"".join(parts)[:DICTIONARY_BYTES]
+        return b"".join(p for p, n in zip(parts, np.cumsum([len(p) for p in parts])) if n <= DICTIONARY_BYTES)
 
 
 def sampled_parts(texts: DataFrame, quality: int) -> list[bytes]:
-    """Parts of the texts of a class, by least hashes: DOC_PARTS at most of a text, so that long ones don't prevail, and
-    DICTIONARY_PARTS at most in all."""
+    """Parts of the whole texts of a class: those of the DICTIONARY_PARTS least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                marked = sorted((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, k)) >> 1, p) for k, p in enumerate(split(t)))
-                mark, parts = zip(*marked[:DOC_PARTS]) if marked else ((), ())
+                parts = split(t)
+                mark = [xxhash.xxh3_64_intdigest(b"%d %d" % (doc, k)) >> 1 for k in range(len(parts))]
                 yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(parts, pa.binary())], names=["mark", "part"])
 
     got = texts.filter((F.col("quality") == quality) & (F.col("role") == 0)).select("doc_id", "text").mapInArrow(run, "mark long, part binary")
@@ -111,8 +110,8 @@ def measured(texts: DataFrame, good: bytes, bad: bytes) -> np.ndarray:
 
 
 def _design(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = (f - mean) / scale
-    return np.column_stack((np.ones(len(z)), z, z[:, 0] * z[:, 2], z[:, 0] * z[:, 3], z[:, 1] ** 2, z[:, 2] ** 2))
+    """Constant and features on one scale; the size difference carries the score, the other three calibrate it."""
+    return np.column_stack((np.ones(len(f)), (f - mean) / scale))
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out=lambda c: crc_mod(c, 4) == 2) -> Model:
@@ -137,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out=lambda c: crc_mod(c, 4) =
     of = {q: got[got[:, 1] == q] if len(got) else got for q in (0, 1)}
     if not len(of[0]) or not len(of[1]):
         flat = 4.0 if len(of[1]) else -4.0 if len(of[0]) else 0.0
-        return Model(b"", b"", np.array([flat] + [0.0] * 8), np.zeros(4), np.ones(4))
+        return Model(b"", b"", np.array([flat] + [0.0] * 4), np.zeros(4), np.ones(4))
     rest = np.concatenate([x[x[:, 2] == 1] if (x[:, 2] == 1).any() else x for x in of.values()])
     f, y = rest[:, 3:], rest[:, 1]
     # the classes count by their share among all labels that may be learned from

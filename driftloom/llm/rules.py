@@ -22,11 +22,13 @@ RULES: dict[str, tuple[float, float, int]] = {
     "symbols_per_word": (0.1, 0.02, -1),
     "dup_line_share": (0.3, 0.05, -1),
     "repeat_share": (0.3, 0.08, -1),
-    "distinct_share": (0.25, 0.4, 1),
+    "distinct_words": (0.8, 1.3, 1),
     "upper_share": (0.5, 0.2, -1),
     "letter_share": (0.88, 0.92, 1),
     "punct_per_word": (0.45, 0.3, -1),
 }
+#: Distinct words of natural texts grow about as this power of their words, so their ratio tells texts of all lengths apart.
+DISTINCT_POWER = 0.75
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -64,7 +66,7 @@ def measures(text: str | None) -> tuple[list[int], list[float]]:
     digit = sum(map(text.count, "0123456789"))
     letters = max(chars - digits_etc - digit, 0)
     mean = chars / n
-    return counts, [mean, mean, symbols / n, dup / len(lines), rep / n, len(set(ws)) / min(n, 200), upper / max(letters, 1), letters / chars, digits_etc / n]
+    return counts, [mean, mean, symbols / n, dup / len(lines), rep / n, len(set(ws)) / n**DISTINCT_POWER, upper / max(letters, 1), letters / chars, digits_etc / n]
 
 
 class _Punct(dict):
@@ -90,7 +92,7 @@ def votes(values: np.ndarray) -> np.ndarray:
 def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 100, prior: float = 0.9) -> dict:
     """Expectation-maximisation of each rule's vote rates given the hidden class, from counted vote patterns.
 
-    Two classes; rules are independent given the class. It starts from rules that are right four times in five and
+    Two classes, of any share (one text's worth of `prior` keeps it from 0 and 1); rules are independent given the class. It starts from rules that are right four times in five and
     keeps every good-vote rate higher in the good class, so that the classes can't change places.
     """
     good, bad, none = (patterns == 1), (patterns == -1), (patterns == 0)
@@ -105,10 +107,9 @@ def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 100, prior: float = 0
             got = np.einsum("vpr,p->vr", kinds, w * q) + 1.0
             new[c] = got / got.sum(0)
         swap = (new[1][2] - new[1][0]) < (new[0][2] - new[0][0])  # such a rule carries no vote
-        for c in (0, 1):
-            new[c][:, swap] = ((new[1] + new[0]) / 2)[:, swap]
+        new[1][:, swap] = new[0][:, swap] = ((new[1] + new[0]) / 2)[:, swap]
         moved = max(np.abs(new[c] - p[c]).max() for c in (0, 1))
-        p, share = new, float(np.clip((w * post).sum() / max(w.sum(), 1), 0.5, 0.999))
+        p, share = new, float(((w * post).sum() + prior) / (w.sum() + 1))
         if moved < 1e-7:
             break
     return {"post": post if len(n) else np.zeros(0), "share": share, "rates": p}

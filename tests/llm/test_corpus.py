@@ -252,6 +252,84 @@ def test_plan_is_whole_and_near_the_bound(seed):
     assert sum(t for _, t in plan) <= np.ceil((n * np.arange(41)).sum() / 40) * 1.2 + 1
 
 
+def fewest(pieces, limit):
+    """The least number of sequences, by trying every set that the longest piece can be put with."""
+    from functools import lru_cache
+    from itertools import combinations
+
+    @lru_cache(None)
+    def best(left):
+        if not left:
+            return 0
+        first, rest = left[0], left[1:]
+        out = len(left)
+        for k in range(len(rest) + 1):
+            for at in combinations(range(len(rest)), k):
+                if first + sum(rest[i] for i in at) <= limit:
+                    out = min(out, 1 + best(tuple(x for i, x in enumerate(rest) if i not in at)))
+        return out
+
+    return best(tuple(sorted(pieces, reverse=True)))
+
+
+def test_reduction_keeps_the_best_plan(monkeypatch):
+    """What the dominance rule fixes is part of a best plan, and the whole is never worse than best fit alone."""
+    for seed in range(400):
+        r = np.random.default_rng(seed)
+        pieces = r.integers(2, 31, int(r.integers(1, 10))).tolist()
+        n = np.bincount(pieces, minlength=31)
+        left = []
+        with monkeypatch.context() as m:
+            m.setattr(packing, "best_fit", lambda stock, limit: left.extend(np.repeat(np.arange(31), stock.n).tolist()) or [])
+            fixed = sum(t for _, t in packing.plan(n, 30))
+        assert fixed + fewest(left, 30) == fewest(pieces, 30)
+    for seed in range(1000):
+        r = np.random.default_rng(seed)
+        n = np.bincount(r.integers(1, 61, r.integers(1, 40)), minlength=61)
+        assert sum(t for _, t in packing.plan(n, 60)) <= sum(t for _, t in packing.best_fit(packing.Stock(n), 60))
+
+
+def test_coder_equals_the_tokenizer():
+    """Random texts of plain, marked and other characters, apostrophes, digits and special tokens; in slices and in parts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from driftloom.llm import scan
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, coder = Tokenizer.from_file(path), packing.Coder(open(path).read())
+    assert coder.divides
+    r = np.random.default_rng(1)
+    signs = [*"abAZ '’stmdrevl019.,!-\t\nàÉŉİſ漢<|>", "<|endoftext|>", "'re", "'LL", " 's"]
+    given = ["".join(r.choice(signs[: int(k)], int(r.integers(0, 40)))) for k in r.choice([25, 30, len(signs)], 1500)] + [None, "", "x" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(given, pa.string())], names=["text"])
+    for size in (200, 1 << 20):
+        for s, buf, edge in scan.slices([batch], 0, size):
+            for t, ids in zip(s.column(0).to_pylist(), coder.encode(buf, edge)):
+                assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from driftloom.llm import scan
+
+    r = np.random.default_rng(0)
+    given = [None, "", "a b", " x\ty ", "end", "start", "é è" + "z" * 200 + " q", "\x0b\x0c\r\n k"] + ["".join(r.choice(list("ab \n"), int(r.integers(0, 30)))) for _ in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array(given, pa.string())], names=["text"])
+    of, n = {}, 0
+    for s, buf, edge in scan.slices([b.slice(0, 3), b.slice(3, 0), b.slice(3)], 0, 100):
+        start, end, many = scan.words(buf, edge)
+        h, at = scan.hashes(buf, start, end), 0
+        for t, m in zip(s.column(0).to_pylist(), many.tolist()):
+            ws = [buf[x:y].tobytes() for x, y in zip(start[at : at + m], end[at : at + m])]
+            assert ws == split(t)
+            for w, x in zip(ws, h[:, at : at + m].T.tolist()):
+                assert of.setdefault(w, x) == x
+            at, n = at + m, n + 1
+    assert n == len(given) and len({tuple(x) for x in of.values()}) == len(of)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "u", "Hello world this is a question.\nSecond line is here too.", 1), (1, 1, "a", "> Hello  world this is a QUESTION.\n> Second line is here too.\nMy answer is forty two.", 1),
@@ -299,10 +377,59 @@ def test_language(spark):
     odd = spark.createDataFrame([(1, None, "en"), (2, "123 !!", "en"), (3, "hello there", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.identify(odd).orderBy("doc_id").collect()][:2] == ["und", "und"]
     assert language.identify(empty(spark)).count() == 0
+    wide = spark.createDataFrame([(i, "%s%s " % (chr(97 + i % 23), chr(97 + i % 7)) * 9, "l%02d" % (i % 23)) for i in range(230)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang_pred) for r in language.identify(wide).collect()} == {(i, "l%02d" % (i % 23)) for i in range(230)}
     code = language.codewords(9)
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 15
 
 
+def test_language_model_of_each_bit(spark, monkeypatch):
+    """Weights and margins against plain sums, with counts handed on two languages at a time."""
+    monkeypatch.setattr(language, "HELD", 2)
+    r = np.random.default_rng(4)
+    rows_ = [("l%d" % (i % 7), "".join(r.choice(list("abcdefgh "[i % 7 : i % 7 + 3]), 40))) for i in range(70)]
+    got = language.learn(spark.createDataFrame(rows_, "lang string, text string").repartition(3))
+    n = {}
+    for lang, t in rows_:
+        n[lang] = n.get(lang, 0) + language.slots(t)
+    langs = sorted(n)
+    share = np.array([(n[x] + 0.5) / (n[x] + 0.5).sum() for x in langs])
+    code = language.codewords(7)
+    w = np.stack([np.log(share[code[:, b] > 0].mean(0) / share[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1)
+    centre = share @ w
+    high, low = np.where(code > 0, centre, np.inf).min(0), np.where(code < 0, centre, -np.inf).max(0)
+    assert got.languages == langs and np.allclose(got.weights, w, atol=1e-6) and np.allclose(got.bias, -(high + low) / 2, atol=1e-6)
+
+
+def test_rules_fit_equals_plain_em(spark, docs, rows):
+    """quality and kept against expectation-maximisation written out text by text, rule by rule."""
+    got = rules.weigh(docs).collect()
+    live = [r for r in rows if split(r[1])]
+    v = rules.votes(np.array([rules.measures(r[1])[1] for r in live]))
+    p = {1: [[0.05, 0.15, 0.8]] * 9, 0: [[0.4, 0.2, 0.4]] * 9}
+    share = 0.9
+    for _ in range(100):
+        post = []
+        for row in v:
+            a, b = share, 1 - share
+            for k, x in enumerate(row):
+                a, b = a * p[1][k][x + 1], b * p[0][k][x + 1]
+            post.append(a / (a + b))
+        new = {c: [[(1 + sum(q for q, row in zip(w, v) if row[k] == x)) / (3 + sum(w)) for x in (-1, 0, 1)] for k in range(9)] for c, w in ((1, post), (0, [1 - q for q in post]))}
+        for k in range(9):
+            if new[1][k][2] - new[1][k][0] < new[0][k][2] - new[0][k][0]:
+                new[1][k] = new[0][k] = [(a + b) / 2 for a, b in zip(new[1][k], new[0][k])]
+        moved = max(abs(a - b) for c in (0, 1) for x, y in zip(new[c], p[c]) for a, b in zip(x, y))
+        p, share = new, (sum(post) + 0.9) / (len(post) + 1)
+        if moved < 1e-7:
+            break
+    want = sorted(round(x, 6) for x in post)
+    assert want == pytest.approx(sorted(round(g.quality, 6) for g in got if g.n_words), abs=1e-5)
+    assert all(g.kept == (not g.base_failed and g.quality >= 0.5) for g in got)
+    junk = rules.measures(" ".join("w%d" % (i % 100) for i in range(10_000)))[1]
+    assert rules.votes(np.array([junk]))[0][list(rules.RULES).index("distinct_words")] == -1
+
+
 def test_jaccard(spark, docs, rows):
     got = jaccard.join(docs).toPandas()
     grams = []
@@ -323,6 +450,43 @@ def test_jaccard(spark, docs, rows):
     assert jaccard.root_depth(0.8) == 5
 
 
+def test_trie_edges_join_what_shares_a_prefix(spark):
+    """At each level, the edges' components are the texts that share a prefix of labels in some tree."""
+    r = np.random.default_rng(9)
+    labels = (r.integers(0, 6, (150, 2)).astype(np.uint64) << np.uint64(61)) | (r.integers(0, 1 << 7, (150, 2)).astype(np.uint64) << np.uint64(11))
+    live = spark.createDataFrame([(i, [int(x) for x in row.view(np.int64)]) for i, row in enumerate(labels)], "k1 long, labels array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = [tuple(e) for e in jaccard.trie_edges(live).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for level in range(jaccard.LEVELS + 1):
+        keep = np.uint64(jaccard.LEVEL_BITS * (jaccard.LEVELS - level))
+        cut = labels >> keep
+        a = (cut[:, None, :, None] == cut[None, :, None, :]).any((2, 3))
+        b = np.zeros((150, 150), bool)
+        for x, y, at in edges:
+            if at >= level:
+                b[x, y] = b[y, x] = True
+        assert linked(a).tolist() == linked(b).tolist()
+
+
+def test_near_copies_are_all_found(spark):
+    """Texts of many lengths and similarities from 0.8 up: the forest finds the links that brute force finds."""
+    r = np.random.default_rng(10)
+    texts_ = []
+    for k in range(40):
+        base = ["w%d" % x for x in r.integers(0, 5000, int(r.choice([12, 40, 150, 600])))]
+        texts_.append(base)
+        for _ in range(4):
+            new = list(base)
+            for at in r.choice(len(new), max(int(len(new) * r.choice([0.005, 0.015, 0.022])), 0), replace=False):
+                new[at] = "x%d" % r.integers(10**6)
+            texts_.append(new)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts_]
+    want = [sum(i != j and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(grams)) for i, x in enumerate(grams)]
+    got = jaccard.join(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts_)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [g.n_links for g in got] == want and sum(want) > 200
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     base = text(200).split()
