@@ -55,11 +55,15 @@ def _clean() -> None:
             return
 
 
+#: Bytes that a task's Parquet writer holds.
+ROW_GROUP = 32 << 20
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftloom-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _LIVE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
@@ -89,7 +93,7 @@ def restored(df: DataFrame, names: list[str], used: list[str], *made: str) -> Da
 
 
 #: Rows and bytes of an Arrow batch at most: a task holds several batches at once, on both sides.
-BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def few_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -212,18 +216,17 @@ class UnionFind:
         return a != b
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
-
-
-def _renamed(edges: DataFrame, on: str, names: DataFrame) -> DataFrame:
-    """edges with `m`, what names(n, m) calls the node `on`, or null.
+def _renamed(edges: DataFrame, on: str, names: DataFrame) -> DataFrame | None:
+    """edges with `m`, what names(n, m) calls the node `on`, or null; None if there are no names.
 
     names holds only the nodes whose name differs, mostly few: they are broadcast while their count allows, so that a
     hub's edges stay where they are; beyond that edges are salted, and every name is sent to each salt.
     """
     names = settle(names, "names")
     n = names.count()
+    if not n:
+        release(names)
+        return None
     if n <= BROADCAST_ROWS:
         return edges.join(F.broadcast(names), F.col(on) == F.col("n"), "left").drop("n")
     salts = 16
@@ -235,30 +238,32 @@ def _renamed(edges: DataFrame, on: str, names: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b), for every node with an edge to another.
 
-    Alternating large and small stars. Each step takes a minimum by node (combined before the shuffle) and joins
-    back those that change an edge, so a hub's edges are not gathered. Every round is written to the shared folder;
-    the driver sees counts and two checksums.
+    Alternating large and small stars, until every node has one smaller neighbour, which has none. Each step takes a
+    minimum by node (combined before the shuffle) and joins back those that change an edge, so a hub's edges are not
+    gathered. Every round is written to the shared folder; the driver sees counts.
     """
     star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     star = settle(star, "edges")
-    seen = _mark(star)
-    while seen[0]:
+    while True:
         # large star: (a, b) becomes (a, m), m being the least neighbour of b, if b has one under it
         heads = star.select(F.col("b").alias("_b")).distinct()
         least = star.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).join(heads, F.col("n") == F.col("_b"), "left_semi")
-        large = _renamed(star, "b", least).select("a", F.coalesce("m", "b").alias("b")).distinct()
-        large = settle(large, "edges")
+        moved = _renamed(star, "b", least)
+        if moved is not None:
+            large = settle(moved.select("a", F.coalesce("m", "b").alias("b")).distinct(), "edges")
+            release(star)
+            star = large
         # small star: all but the least of several neighbours under a, and a itself, are joined to that least one
-        several = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.max("b").alias("x")).filter("m < x").select("n", "m")
-        small_ = _renamed(large, "a", several).withColumn("m", F.coalesce("m", "b"))
-        small_ = small_.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = settle(small_.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        release(star)
-        release(large)
-        star, now = new, _mark(new)
-        if now == seen:
+        several = star.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.max("b").alias("x")).filter("m < x").select("n", "m")
+        joined = _renamed(star, "a", several)
+        if joined is not None:
+            joined = joined.withColumn("m", F.coalesce("m", "b"))
+            joined = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+            small_ = settle(joined.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+            release(star)
+            star = small_
+        elif moved is None:
             break
-        seen = now
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -278,9 +278,9 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Rows of one word sequence are one text, sent on once. Texts are the leaves of TREES tries over their MinHash
     signatures, laid out by one sort. Texts that share the longest prefixes come first: they are joined to parts, whose
-    pairs are verified exactly, in blocks of texts against texts. Then the prefix is shortened by a value, and the pairs
-    that now come together are verified, until the links found say that under 1 - RECALL of all are missing, or the
-    prefix is so short that no similarity asked for could lose more. Counts and a spanning set of links come out of a
+    pairs are verified exactly, in blocks of texts against texts. Then the prefix is shortened to the length at which the
+    links found say that under 1 - RECALL of all are missing, and the pairs that now come together are verified, and so
+    on until the links found ask for no shorter one, or it is so short that no similarity asked for could lose more. Counts and a spanning set of links come out of a
     block, not pairs.
 
     Texts without a word link to nothing and are their own class. A row with a null id goes under a hash of its text.
@@ -295,7 +295,8 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     edges = settle(trie_edges(nodes.select("k1", "labels")), "tries")
     found, before = None, None
     sums = np.zeros(LEVELS + 2)
-    for level in range(LEVELS, -1, -1):
+    level = LEVELS
+    while True:
         parts = settle(components(edges.filter(F.col("level") >= level).select("a", "b")), "parts")
         if before is None:
             named = parts.withColumn("sub", F.col("node"))
@@ -306,8 +307,11 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
         got = new.filter("sums is not null").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0.0)) for k in range(LEVELS + 2)]).first()
         sums += np.array(got)
         found, before = new if found is None else found.unionByName(new), parts
-        if sums[1 + level] <= (1 - RECALL) * sums[0]:
+        # the longest prefix under which the links found so far say that no more than asked are missing
+        enough = max([k for k in range(LEVELS + 1) if sums[1 + k] <= (1 - RECALL) * sums[0]], default=0)
+        if enough >= level or not level:
             break
+        level = enough
     links = found.filter("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     known = nodes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(classes, "rep", "left")

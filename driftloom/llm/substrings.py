@@ -208,7 +208,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
             null = np.array(ids.is_null().to_numpy(zero_copy_only=False))
             held.append((a, b, ids.fill_null(0).to_numpy()[d], keys[d], p, null[d]))
             total += len(a)
-            if total > HELD // 8:
+            if total > HELD // 4:
                 yield from out()
                 held, total = [], 0
         if total:
