@@ -14,20 +14,23 @@ from .points import weekly_groups
 
 @dataclass
 class Params:
-    persistence: float = 0.3
+    """Defaults are fixed values; `decay` scales all cells alike, so it drops out where a forecast is normalised."""
+
+    persistence: float = 0.6
     momentum: float = 0.7
     step: float = 1.0
-    diffusion: float = 0.3
-    decay: float = 0.9
+    diffusion: float = 0.05
+    decay: float = 0.01
     window: int = 3
-    history: int = 4
+    history: int = 7
+    importance: float = 1.5
 
     def asdict(self) -> dict:
         return asdict(self)
 
 
-#: Bounds of the search, as (low, high); whole numbers for the window and the history.
-SPACE = {"persistence": (0.1, 0.9), "momentum": (0.1, 0.9), "step": (0.5, 2.0), "diffusion": (0.01, 0.5), "decay": (0.5, 1.0), "window": (3, 7), "history": (2, 6)}
+#: Bounds of the search, as (low, high), fixed values; whole numbers for the window and the history.
+SPACE = {"history": (2, 10), "decay": (0.001, 0.8), "step": (0.1, 3.0), "momentum": (0.1, 0.95), "persistence": (0.1, 0.9), "window": (2, 6), "diffusion": (0.001, 0.5), "importance": (1.0, 3.0)}
 #: Groups from which tuning makes sense.
 LEAST_GROUPS = 3
 
@@ -116,12 +119,12 @@ def fitted(df: DataFrame, g: int, p: Params, sigma: float = 0.2, days: int = 7)
 
 
 def predict(df: DataFrame, g: int, p: Params | None = None, steps: int = 1, sigma: float = 0.2, days: int = 7) -> DataFrame:
-    """(r, c, p) so many steps ahead; a roll-out of several steps is checkpointed at each."""
+    """(r, c, p) so many steps ahead; a roll-out of several steps is checkpointed at each where the session has a folder for it."""
     p = p or Params()
     grid, v = fitted(df, g, p, sigma, days)
     for k in range(steps):
         grid = step(grid, v, g, p)
-        if k < steps - 1:
+        if k < steps - 1 and grid.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             grid = grid.checkpoint()
     return grid
 
@@ -130,11 +133,11 @@ def _matrices(grids: DataFrame, g: int):
     """The last groups' grids as arrays for the search; groups times g * g numbers, bounded by the history."""
     import numpy as np
 
-    rows = grids.select("key", "r", "c", "p").collect()
-    keys = sorted({r[0] for r in rows})
+    got = grids.select("key", "r", "c", "p").toArrow()
+    key, r, c, p = (got.column(i).to_numpy() for i in range(4))
+    keys, at = np.unique(key, return_inverse=True)
     out = np.zeros((len(keys), g, g))
-    for k, r, c, p in rows:
-        out[keys.index(k), r, c] = p
+    out[at, r, c] = p
     return out
 
 
@@ -199,7 +202,10 @@ def tuned(df: DataFrame, g: int, calls: int = 10, initial: int = 5, seed: int =
         count[k] += n
 
     def value(p: Params) -> float:
-        got = [(((weight[t] * _roll(grids[max(0, t - p.history) : t], p, g)).sum() * g * g / max(weight[t].sum(), 1e-12)), count[t]) for t in range(2, len(grids))]
+        first = max(2, p.history)  # the first group with a whole history before it
+        if first >= len(grids):
+            return 0.0
+        got = [(((weight[t] * _roll(grids[max(0, t - p.history) : t], p, g)).sum() * g * g / max(weight[t].sum(), 1e-12)), count[t]) for t in range(first, len(grids))]
         return float(np.average([x for x, _ in got], weights=[n for _, n in got]))
 
     rng = np.random.default_rng(seed)

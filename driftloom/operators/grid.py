@@ -91,12 +91,17 @@ def point_mass(df: DataFrame, box: DataFrame, g: int, key: str) -> DataFrame:
 def history(grids: DataFrame, frames: DataFrame, back: int | None) -> DataFrame:
     """Sums of the raw grids of the `back` frames before each frame (all before, if None or if those hold nothing).
 
-    Raw grids add up, so histories are sums of frames' grids, each made once. frames(frame_id) are the wanted ones.
+    Raw grids add up, so histories are running sums of frames' grids, each made once: one shuffle by cell, in which
+    each of the g * g cells is a window over its frames. frames(frame_id) are the wanted ones, a few rows.
     """
-    past = frames.join(grids, grids.key < frames.frame_id)
-    near = F.lit(True) if back is None else (F.col("key") >= F.col("frame_id") - back)
-    h = past.groupBy("frame_id", "r", "c").agg(F.sum(F.when(near, F.col("v"))).alias("near"), F.sum("v").alias("whole"))
-    return h.select(F.col("frame_id").alias("key"), "r", "c", F.coalesce("near", "whole").alias("v"))
+    span = grids.select("r", "c").distinct()
+    wanted = span.crossJoin(F.broadcast(frames.select(F.col("frame_id").cast("long").alias("key")).distinct()))
+    both = grids.select("key", "r", "c", "v", F.lit(False).alias("asked")).unionByName(wanted.select("key", "r", "c", F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked")))
+    by_cell = W.partitionBy("r", "c").orderBy("key")
+    whole = F.sum("v").over(by_cell.rangeBetween(W.unboundedPreceding, -1))
+    near = whole if back is None else F.sum("v").over(by_cell.rangeBetween(-back, -1))
+    summed = both.select("key", "r", "c", "asked", whole.alias("whole"), near.alias("near")).filter("asked and whole is not null")
+    return summed.select("key", "r", "c", F.coalesce("near", "whole").alias("v"))
 
 
 def sequences(frames: DataFrame, length: int, value: str) -> DataFrame:

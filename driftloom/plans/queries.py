@@ -317,16 +317,16 @@ near AS (SELECT n.key, n.r, n.c, o.di, o.dj, m.p AS prev FROM weekly n, (SELECT
  ON m.key = n.key - 1 AND m.r = n.r + o.di AND m.c = n.c + o.dj WHERE n.p >= 0.001::DOUBLE),
 velo AS (SELECT key, r, c, di / sqrt(di * di + dj * dj)::DOUBLE AS vr, dj / sqrt(di * di + dj * dj)::DOUBLE AS vc FROM (SELECT *, row_number() OVER (PARTITION BY key, r, c ORDER BY prev DESC, di, dj) AS k FROM near) WHERE k = 1),
 last AS (SELECT max(key) AS l FROM weekly)"""
-AVERAGE = """recent AS (SELECT v.* FROM velo v, last WHERE key > l - 3), steps AS (SELECT DISTINCT key, 0.8::DOUBLE ** (l - key) AS w FROM recent, last), tw AS (SELECT sum(w) AS tw FROM steps),
+AVERAGE = """recent AS (SELECT v.* FROM velo v, last WHERE key > l - 6), steps AS (SELECT DISTINCT key, 0.8::DOUBLE ** (l - key) AS w FROM recent, last), tw AS (SELECT sum(w) AS tw FROM steps),
 mean AS (SELECT r, c, sum(vr * w) / min(tw) AS vr, sum(vc * w) / min(tw) AS vc FROM recent JOIN steps USING (key), tw GROUP BY 1, 2)"""
-P = drift.Params()
-MOVED = (1 - P.persistence) * P.momentum
-ADVECT = f"""tgt AS (SELECT g.r, g.c, g.p, least(greatest(g.r + coalesce(vr, 0) * {P.step}::DOUBLE, 0), {DG - 1 - 1e-6}::DOUBLE) AS tr, least(greatest(g.c + coalesce(vc, 0) * {P.step}::DOUBLE, 0), {DG - 1 - 1e-6}::DOUBLE) AS tc
+#: The forecast's fixed values, stated here apart from the operator's; BLUR_SIGMA is wide enough for taps.
+P, MOVED, STEP, BLUR_SIGMA = drift.Params(), 0.28, 1.0, 0.6
+ADVECT = f"""tgt AS (SELECT g.r, g.c, g.p, least(greatest(g.r + coalesce(vr, 0) * {STEP}::DOUBLE, 0), {DG - 1 - 1e-6}::DOUBLE) AS tr, least(greatest(g.c + coalesce(vc, 0) * {STEP}::DOUBLE, 0), {DG - 1 - 1e-6}::DOUBLE) AS tc
  FROM (SELECT w.* FROM weekly w, last WHERE key = l AND p >= 1e-10::DOUBLE) g LEFT JOIN mean USING (r, c)),
 parts AS (SELECT r, c, p * {1 - MOVED}::DOUBLE AS v FROM tgt UNION ALL SELECT CAST(floor(tr) AS INTEGER) + a.range, CAST(floor(tc) AS INTEGER) + b.range,
  p * {MOVED}::DOUBLE * CASE WHEN a.range = 1 THEN tr - floor(tr) ELSE 1 - tr + floor(tr) END * CASE WHEN b.range = 1 THEN tc - floor(tc) ELSE 1 - tc + floor(tc) END FROM tgt, range(2) a, range(2) b),
 adv AS (SELECT r, c, sum(v) AS v FROM parts GROUP BY 1, 2)"""
-TAPS = "taps AS (SELECT * FROM (VALUES " + ", ".join(f"({k - len(drift.kernel(P.diffusion)) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(drift.kernel(P.diffusion))) + ") t(d, w))"
+TAPS = f"taps AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT range - 2 AS d, exp(-(range - 2) * (range - 2) / {2 * BLUR_SIGMA**2}::DOUBLE) AS w FROM range(5)))"
 FOLD = lambda v: f"CASE WHEN {v} < 0 THEN -({v}) - 1 WHEN {v} >= {DG} THEN {2 * DG - 1} - ({v}) ELSE {v} END"
 BLUR = f"{TAPS}, rows_ AS (SELECT {FOLD('r + d')} AS r, c, sum(v * w) AS v FROM adv, taps GROUP BY 1, 2), blurred AS (SELECT r, {FOLD('c + d')} AS c, sum(v * w) AS v FROM rows_, taps GROUP BY 1, 2)"
 
@@ -350,26 +350,32 @@ def velocity_avg(spark, d):
     return _recent(spark, d)[1].select("r", "c", F.round("vr", 9).alias("vr"), F.round("vc", 9).alias("vc"))
 
 
-@query("SELECT r, c, round(v, 9) AS v FROM adv WHERE v > 1e-6", f"{DRIFT}, {AVERAGE}, {ADVECT}")
+@query("SELECT r, c, round(v, 9) AS v FROM adv", f"{DRIFT}, {AVERAGE}, {ADVECT}")
 def advect_step(spark, d):
     g, v = _recent(spark, d)
-    return drift.advected(g, v, DG, P).filter("v > 1e-6").select("r", "c", F.round("v", 9).alias("v"))
+    return drift.advected(g, v, DG, P).select("r", "c", F.round("v", 9).alias("v"))
 
 
-@query("SELECT r, c, round(v, 9) AS v FROM blurred WHERE v > 1e-6", f"{DRIFT}, {AVERAGE}, {ADVECT}, {BLUR}")
+@query("SELECT r, c, round(v, 9) AS v FROM blurred", f"{DRIFT}, {AVERAGE}, {ADVECT}, {BLUR}")
 def diffuse_step(spark, d):
     g, v = _recent(spark, d)
-    return drift.diffused(drift.advected(g, v, DG, P), DG, P.diffusion).filter("v > 1e-6").select("r", "c", F.round("v", 9).alias("v"))
+    return drift.diffused(drift.advected(g, v, DG, P), DG, BLUR_SIGMA).select("r", "c", F.round("v", 9).alias("v"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(coalesce(v, 0) / (SELECT sum(v) FROM blurred), 8) AS p FROM cells LEFT JOIN blurred USING (r, c)", f"{DRIFT}, {AVERAGE}, {ADVECT}, {BLUR}")
+@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(coalesce(v, 0) / (SELECT sum(v) FROM adv), 8) AS p FROM cells LEFT JOIN adv USING (r, c)", f"{DRIFT}, {AVERAGE}, {ADVECT}")
 def drift_predict(spark, d):
     return drift.predict(posts(spark, d), DG, P).select("r", "c", F.round("p", 8).alias("p"))
 
 
-@query()
+AGAIN = (
+    f"once AS (SELECT CAST(cells.r AS INTEGER) AS r, CAST(cells.c AS INTEGER) AS c, coalesce(v, 0) / (SELECT sum(v) FROM adv) AS p FROM cells LEFT JOIN adv USING (r, c)), "
+    + ADVECT.replace("(SELECT w.* FROM weekly w, last WHERE key = l AND p >= 1e-10::DOUBLE)", "(SELECT * FROM once WHERE p >= 1e-10::DOUBLE)").replace("tgt", "tgt2").replace("parts", "parts2").replace("adv AS", "adv2 AS")
+)
+
+
+@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(coalesce(v, 0) / (SELECT sum(v) FROM adv2), 7) AS p FROM cells LEFT JOIN adv2 USING (r, c)", f"{DRIFT}, {AVERAGE}, {ADVECT}, {AGAIN}")
 def drift_rollout(spark, d):
-    return drift.step(drift.predict(posts(spark, d), DG, P), _recent(spark, d)[1], DG, P)
+    return drift.predict(posts(spark, d), DG, P, steps=2).select("r", "c", F.round("p", 7).alias("p"))
 
 
 @query()
