@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import DAY_US
 from .grid import bounds, cells, density, normalised
 from .points import weekly_groups
 
@@ -129,6 +130,48 @@ def predict(df: DataFrame, g: int, p: Params | None = None, steps: int = 1, sigm
     return grid
 
 
+def refreshed(framed: DataFrame, frames: DataFrame, box: DataFrame, g: int, p: Params | None = None, frame_days: float = 1.0, sigma: float = 0.2, days: int = 7) -> DataFrame:
+    """(key, r, c, p): the forecast of each wanted frame from the posts of the `history` frames before it.
+
+    A frame whose window holds no post sees all posts before it; one with none before it has no rows. A window's posts
+    are grouped by `days` from its own first post, and the last `history` groups count. A post serves at most `history`
+    frames (as a window) or groups (as a history), so posts are multiplied by that and summed into partial grids at
+    once; what each frame's roll-forward reads is its groups' grids. frames(frame_id) and groups grow with time alone.
+    """
+    p = p or Params()
+    step_us = days * DAY_US
+    posts = framed.filter("frame_id >= 0").select("frame_id", "us", "x", "y")
+    wanted = frames.select(F.col("frame_id").cast("long").alias("key")).distinct()
+    firsts = posts.groupBy(F.col("frame_id").alias("key")).agg(F.min("us").alias("us"))
+    both = firsts.select("key", "us", F.lit(False).alias("asked")).unionByName(wanted.select("key", F.lit(None).cast("long").alias("us"), F.lit(True).alias("asked")))
+    by_time = W.orderBy("key")
+    windows = both.select(
+        "key", "asked", F.min("us").over(by_time.rangeBetween(-p.history, -1)).alias("near"), F.min("us").over(by_time.rangeBetween(W.unboundedPreceding, -1)).alias("t0")
+    ).filter("asked and t0 is not null")
+    slid = windows.filter("near is not null").select("key", F.col("near").alias("t0"))
+    near = posts.withColumn("key", F.explode(F.sequence(F.col("frame_id") + 1, F.col("frame_id") + p.history))).join(F.broadcast(slid), "key")
+    near = near.select("key", F.expr(f"(us - t0) div {step_us}").alias("bin"), "x", "y")
+    binned = posts.crossJoin(F.broadcast(posts.agg(F.min("us").alias("t0")))).withColumn("bin", F.expr(f"(us - t0) div {step_us}"))
+    bins = binned.groupBy("bin").agg(F.min("frame_id").alias("first"))
+    whole = windows.filter("near is null").select("key").join(F.broadcast(bins), F.col("first") < F.col("key"))
+    whole = whole.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(F.desc("bin")))).filter(F.col("k") <= p.history).select("key", "bin")
+    far = binned.join(F.broadcast(whole), "bin").filter("frame_id < key").select("key", "bin", "x", "y")
+    parts = near.unionByName(far).withColumn("grp", F.shiftleft("key", 24) + F.col("bin"))
+    grids = density(parts, box, g, sigma).withColumn("p", F.round("p", 12))
+
+    def run(key, t):
+        import numpy as np
+        import pandas as pd
+
+        at, inside = np.unique(t["key"].to_numpy(), return_inverse=True)
+        m = np.zeros((len(at), g, g))
+        m[inside, t["r"].to_numpy(), t["c"].to_numpy()] = t["p"].to_numpy()
+        r, c = np.divmod(np.arange(g * g, dtype=np.int32), g)
+        return pd.DataFrame({"key": np.int64(key[0]), "r": r, "c": c, "p": _roll(m[-p.history :], p, g).ravel()})
+
+    return grids.groupBy(F.shiftright("key", 24).alias("frame")).applyInPandas(run, "key long, r int, c int, p double")
+
+
 def _matrices(grids: DataFrame, g: int):
     """The last groups' grids as arrays for the search; groups times g * g numbers, bounded by the history."""
     import numpy as np

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import DAY_US, cell, nearest_node
 
 
+#: Cells of partial grids that a task holds.
+HELD = 8_000_000
+
+
 def assign_frames(df: DataFrame, days: float = 1.0) -> DataFrame:
     """`frame_id` by arithmetic on the time since the first post; the last post on a frame's edge is in none (-1)."""
     step = int(days * DAY_US)
@@ -41,7 +45,7 @@ def raw_grid(df: DataFrame, box: DataFrame, g: int, sigma: float, key: str = "gr
 
     The kernel is a product of one factor for each axis, so a post costs 2g exponentials; each task turns its posts
     into one g by g product per key, and those partial grids are summed. The posts are read once and not crossed
-    with the grid.
+    with the grid. A task sends its partial grids on once they hold HELD cells.
     """
     w = F.lit(1.0) if weight is None else weight
     src = df.select(F.col(key).cast("long").alias("key"), "x", "y", w.cast("double").alias("w")).crossJoin(F.broadcast(box))
@@ -51,6 +55,13 @@ def raw_grid(df: DataFrame, box: DataFrame, g: int, sigma: float, key: str = "gr
         import pyarrow as pa
 
         sums: dict[int, np.ndarray] = {}
+
+        def flush():
+            for one, v in sums.items():
+                r, c = np.divmod(np.arange(g * g, dtype=np.int32), g)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(g * g, one)), pa.array(r), pa.array(c), pa.array(v.ravel())], names=["key", "r", "c", "v"])
+            sums.clear()
+
         for b in batches:
             k, x, y, w, x0, x1, y0, y1 = (b.column(i).to_numpy() for i in range(8))
             for one in np.unique(k):
@@ -62,9 +73,9 @@ def raw_grid(df: DataFrame, box: DataFrame, g: int, sigma: float, key: str = "gr
                     kx = np.exp(-((x[i][:, None] - gx) ** 2) / (2 * sigma * sigma)) * w[i][:, None]
                     ky = np.exp(-((y[i][:, None] - gy) ** 2) / (2 * sigma * sigma))
                     out += ky.T @ kx
-        for one, v in sums.items():
-            r, c = np.divmod(np.arange(g * g, dtype=np.int32), g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(g * g, one)), pa.array(r), pa.array(c), pa.array(v.ravel())], names=["key", "r", "c", "v"])
+                if len(sums) * g * g >= HELD:
+                    yield from flush()
+        yield from flush()
 
     parts = src.mapInArrow(run, "key long, r int, c int, v double")
     return parts.groupBy("key", "r", "c").agg(F.sum("v").alias("v"))

@@ -96,6 +96,18 @@ def weekly_groups(df: DataFrame, days: int = 7) -> DataFrame:
     return b.join(F.broadcast(bins), "_bin").drop("_bin")
 
 
+def in_intervals(df: DataFrame, intervals: DataFrame, width_us: int) -> DataFrame:
+    """Rows of df with each of the intervals (start <= us < end) that holds them, overlapping or not.
+
+    Both sides are cut into bins of width_us, so the join is on bins and the range is tested within one; an interval
+    is repeated for each bin that it touches.
+    """
+    cut = F.explode(F.sequence(F.expr(f"floor(start / {width_us})"), F.expr(f"floor((end - 1) / {width_us})")))
+    some = intervals.filter("start < end").withColumn("_bin", cut)
+    held = df.withColumn("_bin", F.expr(f"floor(us / {width_us})")).join(some, "_bin")
+    return held.filter("us >= start and us < end").drop("_bin", "start", "end")
+
+
 def min_max(df: DataFrame, column: str, out: str = "norm") -> DataFrame:
     m = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     return df.crossJoin(F.broadcast(m)).withColumn(out, (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")

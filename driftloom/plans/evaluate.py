@@ -90,13 +90,15 @@ class DriftField:
     tune: bool = False
     calls: int = 10
     initial: int = 5
-    per_frame: bool = False
+    per_frame: bool = True  # refreshed before each frame; False: one forecast from the training posts
 
     def name(self) -> str:
         return "DriftField"
 
     def predict(self, split: Split) -> DataFrame:
         p = drift.tuned(split.train, split.setting.g, self.calls, self.initial)[0] if self.tune else self.params
+        if self.per_frame:
+            return drift.refreshed(split.framed, split.frames, split.box, split.setting.g, p, split.setting.frame_days)
         grid = drift.predict(split.train, split.setting.g, p)
         return grid.withColumn("key", F.lit(0).cast("long")).select("key", "r", "c", "p")
 
@@ -114,7 +116,7 @@ class SequenceForecast:
 
     def predict(self, split: Split) -> DataFrame:
         g, spark = split.setting.g, split.train.sparkSession
-        ids, series = sequence.frame_matrix(split.framed.join(split.train.select("id"), "id", "left_semi"), split.box, g, self.sigma)
+        ids, series = sequence.frame_matrix(split.train, split.box, g, self.sigma)
         wanted = [r[0] for r in split.frames.select("frame_id").orderBy("frame_id").collect()]
         out = sequence.forecast(series, self.length, max(wanted) - ids[-1] if wanted else 0, self.seed, self.epochs)
         rows = [(f, i // g, i % g, float(v)) for f in wanted for i, v in enumerate(out[max(f - ids[-1] - 1, 0)])]
@@ -134,17 +136,17 @@ def load(df: DataFrame, sample: int | None = None, start_us: int | None = None,
 def split(posts: DataFrame, setting: Setting) -> Split:
     """Training posts lie before the last test_weeks; frames with a post after them are scored, with all their posts."""
     cut = F.broadcast(temporal_cut(posts, setting.test_weeks).select("cut"))
-    framed = assign_frames(posts, setting.frame_days).crossJoin(cut)
-    train = framed.filter("us < cut")
+    framed = assign_frames(posts, setting.frame_days).crossJoin(cut).withColumn("_train", F.col("us") < F.col("cut")).drop("cut")
+    train = framed.filter("_train")
     last = F.broadcast(train.agg(F.max("us").alias("last")))
     frames = framed.filter("frame_id >= 0").crossJoin(last).groupBy("frame_id").agg(F.max(F.col("us") > F.col("last")).alias("hit"), F.count("*").alias("n")).filter("hit").select("frame_id", "n")
-    return Split(framed.drop("cut"), train.drop("cut"), bounds(train), frames, setting)
+    return Split(framed, train, bounds(train), frames, setting)
 
 
-def scores(model: Model, s: Split) -> DataFrame:
-    """(frame_id, fds, n, kl) of every scored frame, in one plan."""
+def scores(model: Model, s: Split, pred: DataFrame | None = None) -> DataFrame:
+    """(frame_id, fds, n, kl) of every scored frame, in one plan; pred: the model's forecast if it is there already."""
     g = s.setting.g
-    pred = model.predict(s)
+    pred = model.predict(s) if pred is None else pred
     test = s.framed.join(F.broadcast(s.frames.select("frame_id")), "frame_id")
     f = metrics.fds(located(test, s.box, g), pred, g, per_frame=model.per_frame)
     k = metrics.kl(point_mass(test, s.box, g, "frame_id"), pred, g, model.per_frame)
@@ -155,20 +157,27 @@ def evaluate(posts: DataFrame, models: list[Model], setting: Setting, sink: str
     """Each model's record; framed posts are read once and kept for all models."""
     from ..sources.tables import append_record
 
+    spark = posts.sparkSession
     s = split(posts, setting)
-    s.framed = s.framed.persist()
-    sizes = s.train.count(), s.framed.join(s.frames, "frame_id", "left_semi").count()
+    s.framed.persist()
+    # one row, and one row a frame: literal from here on, so no model derives them anew
+    box, s.frames = s.box.first(), s.frames.persist()
+    s.box = spark.createDataFrame([box], s.box.schema)
+    sizes = s.train.count(), s.frames.agg(F.sum("n")).first()[0] or 0
     out = []
     for m in models:
         began = time.time()
-        r = metrics.summary(scores(m, s)).first().asDict()
+        pred = m.predict(s).persist()  # read by both scores
+        r = metrics.summary(scores(m, s, pred)).first().asDict()
+        pred.unpersist()
         record = {
             "timestamp": time.strftime("%Y%m%d_%H%M%S"), "model_name": m.name(), "model_params": {k: str(v) for k, v in asdict(m).items()}, "config": {k: str(v) for k, v in asdict(setting).items()},
             "scores": r, "runtime_seconds": time.time() - began, "test_weeks": setting.test_weeks, "train_size": sizes[0], "test_size": sizes[1],
         }
         out.append(record)
         if sink:
-            append_record(posts.sparkSession, record, sink)
+            append_record(spark, record, sink)
+    s.frames.unpersist()
     s.framed.unpersist()
     return out
 

@@ -124,11 +124,14 @@ def frame_assign(spark, d):
     return grid.assign_frames(posts(spark, d)).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT f.k AS frame_id, count(*) AS n FROM (SELECT range AS k FROM range(40)) f, span, posts
+@query(f"""SELECT f.k AS frame_id, count(*) AS n FROM (SELECT unnest(range((t1 - t0) // {DAY} + 1)) AS k FROM span) f, span, posts
  WHERE us >= t0 + f.k * {DAY} AND us < t0 + (f.k + 1) * {DAY} GROUP BY 1""", f"{POSTS}, {FRAMED}")
 def frame_range_join(spark, d):
-    f = grid.assign_frames(posts(spark, d)).filter("frame_id >= 0")
-    return f.groupBy("frame_id").agg(F.count("*").alias("n"))
+    p = posts(spark, d)
+    t = p.agg(F.min("us").alias("t0"), F.max("us").alias("t1"))
+    f = t.select(F.explode(F.sequence(F.lit(0), F.expr(f"(t1 - t0) div {DAY}"))).alias("frame_id"), "t0")
+    f = f.select("frame_id", (F.col("t0") + F.col("frame_id") * DAY).alias("start"), (F.col("t0") + (F.col("frame_id") + 1) * DAY).alias("end"))
+    return points.in_intervals(p, f, DAY).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT a.frame_id, CAST(coalesce(sum(b.n) FILTER (b.frame_id >= a.frame_id - 3), sum(b.n)) AS BIGINT) AS n FROM f a JOIN f b ON b.frame_id < a.frame_id GROUP BY 1""",
@@ -265,6 +268,16 @@ def gaussian_fds(spark, d):
     return _scored(spark, d, E.GaussianHistory(SIGMA))
 
 
+REFRESHED = f"""{TEST}, {kernel_sql('raw', '(SELECT * FROM framed WHERE frame_id >= 0)', 'box', 'frame_id', G, 0.2)},
+ summed AS (SELECT w.frame_id AS key, r, c, sum(v) AS v FROM wanted w JOIN raw_v ON raw_v.key < w.frame_id AND raw_v.key >= w.frame_id - 7 GROUP BY ALL), pred AS (SELECT key, r, c, v / sum(v) OVER (PARTITION BY key) AS p FROM summed)"""
+
+
+@query(f"SELECT frame_id, round(sum(weight * coalesce(p, 0)) * {G * G} / sum(weight), 5) AS fds, count(*) AS n FROM test LEFT JOIN pred ON pred.key = frame_id AND pred.r = test.r AND pred.c = test.c GROUP BY 1", REFRESHED)
+def drift_refresh(spark, d):
+    """At the default seven daily frames a window is one group of seven days, so its forecast is that group's grid."""
+    return _scored(spark, d, E.DriftField()).select("frame_id", F.round("fds", 5).alias("fds"), "n")
+
+
 KL = f"""j AS (SELECT k.key, (coalesce(t.p, 0) + 1e-10::DOUBLE) AS a, (pred.p + 1e-10::DOUBLE) AS b FROM (SELECT DISTINCT key FROM truth) k CROSS JOIN cells
  LEFT JOIN truth t ON t.key = k.key AND t.r = cells.r AND t.c = cells.c JOIN pred ON pred.r = cells.r AND pred.c = cells.c),
 kls AS (SELECT key AS frame_id, sum(a * ln(a / b)) AS kl FROM (SELECT key, a / sum(a) OVER (PARTITION BY key) AS a, b / sum(b) OVER (PARTITION BY key) AS b FROM j) GROUP BY 1)"""
@@ -511,9 +524,9 @@ def mixture_pdf(spark, d):
     return posts(spark, d).select("id", F.round(S.normal_pdf(x, y, 1.0, 2.0, 0.5, 1.0) * 0.6 + S.normal_pdf(x, y, 0.5, 4.0, 1.0, 0.5) * 0.4, 8).alias("pdf"))
 
 
-@query("SELECT id, CASE WHEN x < 0.3 THEN 'core' WHEN x < 0.6 THEN 'near' WHEN x < 1.0 THEN 'edge' ELSE 'outside' END AS class FROM posts")
+@query("SELECT id, CASE WHEN s < 0.3 THEN 'core' WHEN s < 0.6 THEN 'near' WHEN s < 1.0 THEN 'edge' ELSE 'outside' END AS class FROM (SELECT id, sqrt((x - 0.6::DOUBLE) * (x - 0.6::DOUBLE) + (y - 2.5::DOUBLE) * (y - 2.5::DOUBLE)) AS s FROM posts)")
 def distance_class(spark, d):
-    return posts(spark, d).select("id", S.distance_class(F.col("x")).alias("class"))
+    return posts(spark, d).select("id", S.distance_class(S.distance(F.col("x"), F.col("y"), F.lit(0.6), F.lit(2.5))).alias("class"))
 
 
 @query("SELECT id, CAST(floor(255 * n) AS INTEGER) AS red, CAST(floor(255 * (1 - n)) AS INTEGER) AS blue FROM (SELECT id, (x - (SELECT min(x) FROM posts)) / ((SELECT max(x) FROM posts) - (SELECT min(x) FROM posts)) AS n FROM posts)")

@@ -99,6 +99,59 @@ def test_joined_step_equals_arrays(spark):
     assert np.allclose([[got[i, j] for j in range(8)] for i in range(8)], want, atol=1e-9)
 
 
+def _plain_refresh(pdf, frames, box, g, p):
+    """Each frame's forecast from arrays of all posts: the window before it, or all before it where that is empty."""
+    x0, x1, y0, y1 = box
+    gx, gy = np.linspace(x0, x1, g), np.linspace(y0, y1, g)
+    out = {}
+    for f in frames:
+        w = pdf[(pdf.frame_id >= max(f - p.history, 0)) & (pdf.frame_id < f)]
+        w = w if len(w) else pdf[(pdf.frame_id >= 0) & (pdf.frame_id < f)]
+        if not len(w):
+            continue
+        b = (w.us - w.us.min()) // (7 * S.DAY_US)
+        grids = []
+        for k in sorted(set(b)):
+            one = w[b == k]
+            v = np.exp(-((one.y.values[:, None] - gy) ** 2) / 0.08).T @ np.exp(-((one.x.values[:, None] - gx) ** 2) / 0.08)
+            grids.append(v / v.sum())
+        out[f] = drift._roll(np.array(grids[-p.history :]), p, g)
+    return out
+
+
+@pytest.mark.parametrize("history,gap", [(7, None), (10, None), (2, (9, 26)), (2, (3, 28))])
+def test_refreshed_equals_plain_windows(spark, history, gap):
+    p = drift.Params(history=history)
+    df = tables.posts(spark, DIR)
+    framed = grid.assign_frames(df).select("id", "us", "x", "y", "weight", "frame_id")
+    if gap:
+        framed = framed.filter(~F.col("frame_id").between(*gap))
+    frames = spark.createDataFrame([(f,) for f in (0, 1, 8, 21, 27, 28, 29)], "frame_id long")
+    box = grid.bounds(df)
+    want = _plain_refresh(framed.toPandas(), [0, 1, 8, 21, 27, 28, 29], tuple(box.first()), 6, p)
+    got = drift.refreshed(framed, frames, box, 6, p).toPandas()
+    assert set(got.key) == set(want) and len(got) == 36 * len(want)
+    for f, m in want.items():
+        one = got[got.key == f].sort_values(["r", "c"])
+        assert np.allclose(one.p.values.reshape(6, 6), m, atol=1e-9), f
+
+
+def test_held_grids_are_sent_on(spark, monkeypatch):
+    df = grid.assign_frames(tables.posts(spark, DIR))
+    box = grid.bounds(df)
+    want = grid.raw_grid(df, box, 5, 0.3, "frame_id").toPandas().sort_values(["key", "r", "c"])
+    monkeypatch.setattr(grid, "HELD", 1)
+    got = grid.raw_grid(df, box, 5, 0.3, "frame_id").toPandas().sort_values(["key", "r", "c"])
+    assert np.allclose(got.v, want.v) and got.key.tolist() == want.key.tolist()
+
+
+def test_overlapping_intervals(spark):
+    p = spark.createDataFrame([(i, i * 10) for i in range(10)], "id long, us long")
+    f = spark.createDataFrame([("a", -15, 35), ("b", 30, 31), ("c", 90, 90), ("d", 20, 95)], "k string, start long, end long")
+    got = sorted((r.id, r.k) for r in points.in_intervals(p, f, 25).collect())
+    assert got == sorted((i, k) for i in range(10) for k, a, b in (("a", -15, 35), ("b", 30, 31), ("d", 20, 95)) if a <= i * 10 < b)
+
+
 def test_lens_recovers_a_linear_map(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5))
