@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import jaccard, language, mixing, packing, substrings
-from driftloom.llm.common import shared_dir
+from driftloom.llm.common import delete, settled, shared_dir, sweep
 from driftloom.llm.queries import TOKENIZER
 
 #: Columns of documents that the stages hand on.
@@ -70,11 +70,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder before the next reads it."""
+    """All stages over documents, each written to the shared folder before the next reads it.
+
+    Once a stage is written, what it was made from is deleted there: the stage before and its intermediate tables. The
+    last stage's folder is the caller's.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
-        path = f"{base}/{name}"
+        path, before = f"{base}/{name}", settled()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(before)
+        if done:
+            delete(spark, done)
+        done = path
     return docs

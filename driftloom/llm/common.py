@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 _LIVE: list[tuple[SparkSession, str]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -50,7 +50,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _LIVE:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session has ended before us; its folder goes with it
             return
 
@@ -73,10 +73,22 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete a settled table that no later plan reads."""
     spark, path = df.sparkSession, df._settled
-    _delete(spark, path)
+    delete(spark, path)
     _LIVE.remove((spark, path))
 
 
+def settled() -> set[str]:
+    """The folders of settled tables that are still there."""
+    return {path for _, path in _LIVE}
+
+
+def sweep(before: set[str]) -> None:
+    """Delete the tables settled since `before` was taken: for a caller that has written all that was made from them."""
+    for spark, path in [x for x in _LIVE if x[1] not in before]:
+        delete(spark, path)
+        _LIVE.remove((spark, path))
+
+
 def aside(docs: DataFrame, used: list[str], made: list[str] = []) -> tuple[DataFrame, list[str]]:
     """docs with all columns but `used` put away in one struct `rest`, where no name can clash; and the names to restore.
 

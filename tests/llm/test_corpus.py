@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import chat, jaccard, language, lm, mixing, packing, quality, queries, rules, substrings, vectors
+from driftloom.llm import chat, common, jaccard, language, lm, mixing, packing, quality, queries, rules, substrings, vectors
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, score double"
@@ -673,7 +674,11 @@ def test_pipeline(spark, tmp_path):
         out = spark.read.parquet(str(tmp_path / name))
         check_stage(spark, name, given, out)
         given = out
+    before = common.settled()
     whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert common.settled() == before  # nothing but the last stage stays
+    folder = Path(whole.inputFiles()[0].removeprefix("file:")).parent
+    assert [p.name for p in folder.parent.iterdir() if not p.name.startswith(".")] == [corpus_pipeline.STAGES[-1][0]]
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert frame(whole.toPandas(), key) == frame(given.toPandas(), key)
     assert whole.count() > 0 and whole.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
