@@ -70,6 +70,23 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def settle_by(df: DataFrame, tag: str, key: str, buckets: int, *order: str) -> DataFrame:
+    """As settle(), with the rows of a key in one file of `buckets` at most: grouping by it later needs no shuffle.
+
+    A file is sorted by `order`, then by the key.
+    """
+    spark = df.sparkSession
+    name = f"driftloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = min(buckets, 50_000)
+    out = df.repartition(buckets, key).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    out.option("path", path).format("parquet").bucketBy(buckets, key).sortBy(*order, key).saveAsTable(name)
+    _LIVE.append((spark, path))
+    out = spark.table(name)
+    out._settled = path
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete a settled table that no later plan reads."""
     spark, path = df.sparkSession, df._settled

@@ -103,6 +103,28 @@ def test_language_model(spark, docs, rows):
         assert r.perplexity == pytest.approx(10 ** (-own.score.sum() / own.n_tokens.sum()))
 
 
+def test_rare_contexts_have_restaurants(spark, monkeypatch):
+    """Contexts joined by slices, and heavy words dealt out by them, score as those that are broadcast do."""
+    r = np.random.default_rng(5)
+    texts_ = [" ".join(f"w{x}" for x in np.cumsum(r.integers(1, 3, 60)) % 40) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "doc_id long, text string")
+
+    def scored():
+        return lm.score(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+
+    want = scored()
+    for contexts, share, bytes_ in ((0, 2e-3, 1 << 30), (5, 2e-3, 2000), (5, 0.03, 2000)):
+        monkeypatch.setattr(lm, "CONTEXTS", max(contexts, 1))
+        monkeypatch.setattr(lm, "HEAVY_SHARE", share)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", bytes_ * 4)
+        monkeypatch.setattr(lm, "SLICE_BYTES", bytes_ * 8)
+        got = scored()
+        assert (got.n_known == want.n_known).all() and np.allclose(got.base_score, want.base_score)
+        assert np.abs(got.score / want.score - 1).max() < 0.02
+        # next words are one of two: far better than without a context
+        assert got.score[got.held_out].sum() > 0.5 * got.base_score[got.held_out].sum()
+
+
 def test_crowds_keep_customers():
     n = np.array([70, 100, 900])
     s = lm.Crowd(n, np.full(3, 0.5), np.random.default_rng(0))
