@@ -100,3 +100,13 @@ def duration_label(days: Column) -> Column:
 def file_stem(name: Column) -> Column:
     """A name fit for a file: blanks as underscores, nothing from an opening bracket on."""
     return F.translate(F.trim(F.split(name, r"\(").getItem(0)), " /", "__")
+
+
+def parsed_time(text: Column) -> Column:
+    """A timestamp without zone from text; null where it is none."""
+    return F.btrim(text).try_cast("timestamp_ntz")
+
+
+def clamped(v: Column) -> Column:
+    """Numbers less than 0, and NaN, as 0."""
+    return F.when(v > 0, F.when(F.isnan(v), 0.0).otherwise(v)).otherwise(0.0)

@@ -168,13 +168,13 @@ def principal(vectors: DataFrame, k: int = 2, column: str = "embedding") -> dict
 
 
 def hashed(texts: DataFrame, dims: int = 256, text: str = "text") -> DataFrame:
-    """texts with `embedding`: signed hashed word counts of unit length, where no sentence encoder is at hand."""
+    """texts with `embedding`: word counts by hashed slot, of unit length, where no sentence encoder is at hand."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    slots = F.transform(h, lambda x: F.pmod(x, F.lit(dims)).cast("int"))
-    base = texts.withColumns({"_s": slots, "_h": h})
-    hits = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("_s", lambda s: s == i)).cast("double"))
-    v = base.withColumn("embedding", F.when(F.size("_s") > 0, hits).otherwise(zero))
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    # sorted with one mark for each slot, a slot's count is the step between marks: no pass over the words for each slot
+    marked = F.array_sort(F.concat(slots, F.sequence(F.lit(0), F.lit(dims))))
+    marks = F.filter(F.transform(marked, lambda v, i: F.when((i == 0) | (F.get(marked, i - 1) != v), i)), lambda i: i.isNotNull())
+    base = texts.withColumn("_m", marks)
+    v = base.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.get("_m", i + 1) - F.get("_m", i) - 1).cast("double")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding"))).drop("_s", "_h")
+    return v.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding"))).drop("_m")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import clamped
 from .grid import cells
 
 
@@ -65,3 +66,17 @@ def autocorrelation(df: DataFrame) -> DataFrame:
 
 def diversity(grid: DataFrame) -> DataFrame:
     return grid.groupBy("key").agg(F.stddev_pop("p").alias("std"), F.min("p").alias("low"), F.max("p").alias("high"))
+
+
+def softmax(df: DataFrame, value: str, *group: str) -> DataFrame:
+    """`share`: exp of the value less the group's largest, over the group's sum; one aggregate by group, joined back."""
+    top = df.groupBy(*group).agg(F.max(value).alias("_top"))
+    e = df.join(top, list(group)).withColumn("_e", F.exp(F.col(value) - F.col("_top"))).drop("_top")
+    return e.join(e.groupBy(*group).agg(F.sum("_e").alias("_sum")), list(group)).withColumn("share", F.col("_e") / F.col("_sum")).drop("_e", "_sum")
+
+
+def renormalised(df: DataFrame, value: str, *group: str) -> DataFrame:
+    """`share`: the value, at least 0, over the group's sum; null where that is 0."""
+    v = df.withColumn("_v", clamped(F.col(value)))
+    sums = v.groupBy(*group).agg(F.sum("_v").alias("_sum"))
+    return v.join(sums, list(group)).withColumn("share", F.when(F.col("_sum") > 0, F.col("_v") / F.col("_sum"))).drop("_v", "_sum")

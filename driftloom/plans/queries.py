@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import drift, grid, lens, metrics, points
+from ..operators import drift, grid, lens, metrics, points, rating, views
 from ..sources import tables
 from . import evaluate as E
 
@@ -572,3 +572,134 @@ def pareto_counts(spark, d):
 @query("SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, round(avg(x), 8) AS cx FROM posts GROUP BY 1")
 def daily_frames(spark, d):
     return posts(spark, d).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 8).alias("cx"))
+
+
+_FAR = [*SITES, (9.0, 9.0)]
+_PLACE = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_FAR))
+
+
+@query(f"""SELECT place, id, round(dist, 8) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY dist, id) AS k FROM (SELECT place, id, sqrt((x - a) * (x - a) + (y - b) * (y - b)) AS dist
+ FROM posts, (VALUES {_PLACE}) t(place, a, b))) WHERE k = 1 AND dist < 0.5""")
+def hover_nearest(spark, d):
+    return views.hover(posts(spark, d), _FAR).select("place", "id", F.round("dist", 8).alias("dist"))
+
+
+def _stop(i: int) -> str:
+    at = [f"{s[i]}::DOUBLE" for s in views.VIRIDIS]
+    return f"CAST(floor([{', '.join(at)}][k + 1] + ([{', '.join(at)}][k + 2] - [{', '.join(at)}][k + 1]) * (u - k) + 1e-9) AS INTEGER)"
+
+
+@query(f"""SELECT id, x, y, round(dist, 8) AS dist, {_stop(0)} AS r, {_stop(1)} AS g, {_stop(2)} AS b, 255 AS a, 1::DOUBLE AS size, CAST(week(day) AS INTEGER) AS week
+ FROM (SELECT *, CAST(least(floor(u), 8) AS INTEGER) AS k FROM (SELECT *, least(floor((dist - min(dist) OVER ()) / (max(dist) OVER () - min(dist) OVER ()) * 256), 255) / 255::DOUBLE * 9 AS u
+ FROM (SELECT p.*, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS dist FROM posts p, (SELECT avg(x) AS cx, avg(y) AS cy FROM posts))))""")
+def point_frame(spark, d):
+    return views.point_frame(posts(spark, d)).withColumn("dist", F.round("dist", 8))
+
+
+@query("SELECT coalesce(a.key + 1, b.key) AS key, coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, round(coalesce(a.p, 0), 9) AS predicted, round(coalesce(b.p, 0), 9) AS true FROM weekly a FULL JOIN weekly b ON b.key = a.key + 1 AND a.r = b.r AND a.c = b.c", DRIFT)
+def heat_pair(spark, d):
+    w = _weekly(spark, d)
+    out = views.heat_pair(w.withColumn("key", F.col("key") + 1), w)
+    return out.select("key", "r", "c", F.round("predicted", 9).alias("predicted"), F.round("true", 9).alias("true"))
+
+
+@query(f"""SELECT w.key * 2 + half AS step, w.key, w.r, w.c, round(w.p, 9) AS p, CASE WHEN half = 1 THEN coalesce(n, 0) ELSE -1 END AS n FROM weekly w CROSS JOIN (VALUES (0), (1)) h(half) LEFT JOIN
+ (SELECT grp AS key, {CUT("y", "y0", "y1", DG)} AS r, {CUT("x", "x0", "x1", DG)} AS c, count(*) AS n FROM grouped, {BOX.format("posts")} GROUP BY ALL) q ON q.key = w.key AND q.r = w.r AND q.c = w.c""", DRIFT)
+def animation_frames(spark, d):
+    p = posts(spark, d)
+    framed = points.weekly_groups(p).withColumnRenamed("grp", "frame_id")
+    return views.animation(_weekly(spark, d), framed, grid.bounds(p), DG).withColumns({"p": F.round("p", 9), "n": F.coalesce("n", F.lit(-1))})
+
+
+@query(f"""SELECT w AS window, count(*) AS n, round(avg(x), 8) AS cx, round(avg(y), 8) AS cy FROM posts, (SELECT min(us) AS t0, max(us) AS t1 FROM posts), (SELECT range AS w FROM range(10000))
+ WHERE us >= t0 + w * {7 * DAY} AND us < t0 + (w + 2) * {7 * DAY} GROUP BY 1 HAVING count(*) >= 100""")
+def landscape_windows(spark, d):
+    return views.landscapes(posts(spark, d)).select("window", "n", F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"))
+
+
+@query("""SELECT 'post.final_size' AS field, 'present' AS old, 'missing' AS new UNION ALL SELECT 'frames.' || strftime(day, '%Y-%m-%d'), CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (id % 50 <> 3) AS VARCHAR) FROM posts
+ GROUP BY day HAVING count(*) FILTER (id % 50 = 3) > 0""")
+def timeline_validation(spark, d):
+    old = _timeline(posts(spark, d))
+    return views.timeline_differences(old, old.filter("id % 50 <> 3").drop("final_size"))
+
+
+_OFFLINE = lens.Lens("offline", ("quality", "toxic"), (0, 1), 4)
+
+
+def _rated(spark, d):
+    """Labels rated by a back-end that needs no network: it answers with the numbers that its text holds."""
+    raters = lens.Raters({"offline": lambda prompts: [p.rsplit("\n\n", 1)[-1] for p in prompts]})
+    text = F.format_string("quality %d, toxic %d", "quality", "toxic")
+    src = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 10 != 0, text).otherwise("short").alias("text"))
+    return rating.rated(src, _OFFLINE, raters, "offline")
+
+
+_LABELLED = "r AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN CAST(quality AS DOUBLE) END AS quality, CASE WHEN doc_id % 10 <> 0 THEN CAST(toxic AS DOUBLE) END AS toxic FROM labels)"
+
+
+@query("SELECT doc_id, quality, toxic, CASE WHEN quality IS NULL THEN 'text too short' END AS error, (quality + toxic) / 2 AS offline_score FROM r", _LABELLED)
+def rating_job(spark, d):
+    return _rated(spark, d).select("doc_id", "quality", "toxic", "error", "offline_score")
+
+
+@query("SELECT count(*) AS total, count(quality) AS succeeded, count(*) - count(quality) AS failed, round(avg(quality), 9) AS mean_quality, round(avg(toxic), 9) AS mean_toxic, round(avg((quality + toxic) / 2), 9) AS mean_offline_score FROM r", _LABELLED)
+def rating_totals(spark, d):
+    out = rating.summary(_rated(spark, d), _OFFLINE)
+    return out.select(*[F.round(c, 9).alias(c) if c.startswith("mean") else c for c in out.columns])
+
+
+@query("SELECT 'quality' AS dim, quality AS value, count(*) AS n FROM r WHERE quality IS NOT NULL GROUP BY 2 UNION ALL SELECT 'toxic', toxic, count(*) FROM r WHERE toxic IS NOT NULL GROUP BY 2", _LABELLED)
+def rating_distribution(spark, d):
+    return rating.distributions(_rated(spark, d), _OFFLINE)
+
+
+@query()
+def lens_holdout(spark, d):
+    j = points.gather(table(spark, d, "embeddings"), table(spark, d, "labels"), "vec_id", "doc_id")
+    return rating.held_out(j, ["quality", "toxic"], 1e-3, "doc_id")[0]
+
+
+_COLS = {"quality": "quality", "toxic": "toxic", "e1": "embedding[1]", "e2": "embedding[2]"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({x}, {y}), 6) AS r FROM embeddings JOIN labels ON vec_id = doc_id" for a, x in _COLS.items() for b, y in _COLS.items()), "")
+def corr_matrix(spark, d):
+    j = points.gather(table(spark, d, "embeddings"), table(spark, d, "labels"), "vec_id", "doc_id")
+    j = j.select("quality", "toxic", F.col("embedding")[0].alias("e1"), F.col("embedding")[1].alias("e2"))
+    return rating.correlations(j, list(_COLS)).select("a", "b", F.round("r", 6).alias("r"))
+
+
+@query("SELECT kind, count(*) AS n, count(*) FILTER (favorite_count = 0) AS zeros, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND author IS NOT NULL) AS complete FROM posts GROUP BY 1")
+def present_counts(spark, d):
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("author").isNotNull()
+    return posts(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("favorite_count") == 0).alias("zeros"), F.count_if(whole).alias("complete"))
+
+
+@query("SELECT event_id, coalesce(epoch_us(TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP)), -1) AS us FROM events", "")
+def parse_times(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return e.withColumn("t", S.parsed_time(F.col("t"))).select("event_id", F.coalesce(S.micros("t"), F.lit(-1)).alias("us"))
+
+
+@query("SELECT id, kind, round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 10) AS share FROM posts WINDOW w AS (PARTITION BY kind)")
+def softmax_by_kind(spark, d):
+    return metrics.softmax(posts(spark, d), "x", "kind").select("id", "kind", F.round("share", 10).alias("share"))
+
+
+@query("SELECT id, kind, round(greatest(x - 0.5::DOUBLE, 0) / sum(greatest(x - 0.5::DOUBLE, 0)) OVER (PARTITION BY kind), 10) AS share FROM posts")
+def clamped_shares(spark, d):
+    v = posts(spark, d).withColumn("v", F.col("x") - 0.5)
+    return metrics.renormalised(v, "v", "kind").select("id", "kind", F.round("share", 10).alias("share"))
+
+
+@query("SELECT id, CASE WHEN p > 0.1 THEN 'dense' WHEN p > 0.05 THEN 'middle' ELSE 'sparse' END AS class FROM (SELECT id, exp(-((x - 1) ** 2 / 0.25::DOUBLE + (y - 2) ** 2 / 1::DOUBLE) / 2) / (2 * pi() * 0.5::DOUBLE) AS p FROM posts)")
+def density_class(spark, d):
+    return posts(spark, d).select("id", S.density_class(S.normal_pdf(F.col("x"), F.col("y"), 1.0, 2.0, 0.5, 1.0)).alias("class"))
+
+
+@query("SELECT id, us < cut AS early FROM framed, span", f"{POSTS}, {FRAMED}".replace("us < cut AS train", "us < cut AS train_"))
+def row_union(spark, d):
+    parts = points.temporal_split(posts(spark, d), TEST_WEEKS)
+    early, late = (parts.filter(F.col("part") == p).select("id", F.lit(p == "train").alias("early")) for p in ("train", "test"))
+    return early.unionByName(late)

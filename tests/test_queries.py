@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom import catalog
 from driftloom.functions import scalar as S
-from driftloom.operators import drift, grid, lens, points, sequence
+from driftloom.operators import drift, grid, lens, points, rating, sequence, views
 from driftloom.plans import evaluate as E
 from driftloom.sources import tables
 
@@ -191,3 +191,53 @@ def test_stream_frames_equal_batch(spark, tmp_path):
     got = {r.start: r.n for r in spark.table("frames_out").collect()}
     want = {r.d: r.n for r in src.groupBy(F.date_trunc("day", "ts").alias("d")).agg(F.count("*").alias("n")).collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_rating_job_goes_on_where_it_stopped(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"sincerity {i % 7 + 1}, charity {i % 5 + 1}" if i % 9 else "x") for i in range(60)], "id long, text string")
+    good = lens.Raters({"r": lambda prompts: [p.rsplit("\n\n", 1)[-1] for p in prompts]})
+    kind = lens.LENSES["good_faith"]
+    got = rating.job(df, kind, good, "r", str(tmp_path), 40, every=10).toPandas().sort_values("id")
+    assert len(got) == 40 and got.id.is_unique
+    for r in got.itertuples():
+        if r.id % 9:
+            assert (r.sincerity, r.charity, r.good_faith_score) == (r.id % 7 + 1, r.id % 5 + 1, (r.id % 7 + r.id % 5) / 2 + 1)
+        else:
+            assert r.error == "text too short" and np.isnan(r.sincerity)
+    one = spark.read.json(f"{tmp_path}/summary").first()
+    assert (one.total, one.failed) == (40, sum(i % 9 == 0 for i in got.id)) and one.succeeded == 40 - one.failed
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/manifest").collect()) == got.id.tolist()
+
+    def down(prompts):
+        raise RuntimeError("no answer")
+
+    again = rating.job(df, kind, lens.Raters({"r": down}), "r", str(tmp_path), 40, every=10).toPandas().sort_values("id")
+    assert again.error.fillna("").tolist() == got.error.fillna("").tolist()  # nothing was asked anew
+    lost = rating.rated(df.filter("id = 1"), kind, lens.Raters({"r": down}), "r").first()
+    assert lost.error == "no answer" and lost.sincerity is None and lost.good_faith_score is None
+
+
+def test_held_out_correlation(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    y = x @ [1.0, -1.0, 0.5, 2.0] + rng.normal(size=500)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "id long, embedding array<double>, y double")
+    table, model = rating.held_out(df, ["y"])
+    test = np.arange(500) % 5 == 0
+    a = np.column_stack([x, np.ones(500)])
+    w = np.linalg.lstsq(a[~test], y[~test], rcond=None)[0]
+    want = np.corrcoef(a[test] @ w, y[test])[0, 1]
+    r = table.first()
+    assert r.n == 100 and r.r == pytest.approx(want, abs=1e-4) and r.r_scaled == pytest.approx(r.r)
+    assert np.allclose(model["x_mean"], x.mean(0))
+
+
+def test_hashed_vectors(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "id long, text string")
+    got = {r.id: np.array(r.embedding) for r in lens.hashed(df, 16).collect()}
+    assert sorted(got[1][got[1] > 0]) in ([pytest.approx(5**-0.5), pytest.approx(2 * 5**-0.5)], [1.0]) and not got[2].any() and len(got[3]) == 16
+
+
+def test_palette_ends(spark):
+    got = spark.createDataFrame([(0.0,), (1.0,), (None,)], "n double").select(*[c.alias(k) for k, c in views.rgba(F.col("n")).items()]).collect()
+    assert [tuple(r) for r in got] == [(*views.VIRIDIS[0], 255), (*views.VIRIDIS[-1], 255), (None, None, None, None)]
