@@ -210,13 +210,14 @@ def verify(nodes: DataFrame, similarity: float, root: int) -> DataFrame:
     """From (part, i, j, mine, sub, rep, n, grams): rows (a, null, links, null) summing copies linked, (a, b, 0, null) that
     span the links, and (null, null, 0, sums): the links found, and how many more a prefix of each length may have missed.
 
-    Texts of one `sub` have met before. A link whose texts meet with probability p stands for 1/p, so (1 - p) / p are
+    Rows are sorted by block and text; a text repeated in a block counts once. (Both steps are one Python worker a task:
+    each more that a stage needs stays on its executor, idle, for the stages after it.) Texts of one `sub` have met before. A link whose texts meet with probability p stands for 1/p, so (1 - p) / p are
     missing (the Horvitz-Thompson estimate).
     """
     tell = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("sums", pa.list_(pa.float64()))])
 
     def run(batches):
-        for g in streamed_groups(batches, ["part", "i", "j"]):
+        for g in streamed_groups(_once(batches), ["part", "i", "j"]):
             if g.num_rows < 2:
                 continue
             rep, n, mine, sub = (g.column(c).to_numpy() for c in ("rep", "n", "mine", "sub"))
@@ -265,8 +266,8 @@ def met(docs: DataFrame, nodes: DataFrame, parts: DataFrame, n: int) -> DataFram
     blocks = F.ceil(F.col("size") / BLOCK)
     sets = gathered(texts, n).withColumn("mine", F.pmod("k2", blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     sets = sets.select("part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sub", "rep", "n", "grams")
-    # a row repeated in the input (the same id and text) is one text, counted in n
-    return _once(sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep"))
+    # a row repeated in the input (the same id and text) is one text, counted in n; verify() leaves its repeats out
+    return sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep")
 
 
 def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -321,18 +322,14 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     return out.select("doc_id", "row_key", "class_id", "n_links", (F.col("sid") == F.col("class_id")).alias("kept"))
 
 
-def _once(sets: DataFrame) -> DataFrame:
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted sets without repeats of a text within a block (repeated input rows come one after another)."""
-
-    def run(batches):
-        last = None
-        for b in batches:
-            key = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "i", "j", "mine", "sub", "rep", "grams"))))
-            keep = [k != p for k, p in zip(key, [last, *key[:-1]])]
-            last = key[-1] if key else last
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return sets.mapInArrow(run, sets.schema)
+    last = None
+    for b in batches:
+        key = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "i", "j", "mine", "sub", "rep", "grams"))))
+        keep = [k != p for k, p in zip(key, [last, *key[:-1]])]
+        last = key[-1] if key else last
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scan
-from .common import aside, buckets_for, few_rows, forget, held as kept, restored, runs, text_bytes, tidy, words
+from .common import aside, buckets_for, few_rows, forget, restored, runs, text_bytes, tidy, words
 
 #: Bits of a sketch row's width at least and at most (2 rows of 2**28 one-bit results: 64 MB broadcast, whatever the corpus).
 LEAST_BITS, MOST_BITS, ROWS = 16, 28, 2
@@ -138,17 +139,19 @@ def sketch(docs: DataFrame, n: int, bits: int) -> list[tuple[int, int, bytes]]:
     return [(r[0], r[1], bytes(r[2])) for r in merged.collect()]
 
 
-def opened(tag: str, parts: list[tuple[int, int, bytes]], bits: int) -> np.ndarray:
-    """The sketch's bits, unpacked once in each worker."""
+def opened(shared: Broadcast, bits: int) -> np.ndarray:
+    """The sketch's bits, unpacked for one task.
 
-    def make():
-        each = (1 << bits) // SHARDS // 8
-        b = np.zeros((ROWS, each * SHARDS), np.uint8)
-        for row, s, data in parts:
-            b[row, s * each : (s + 1) * each] = np.frombuffer(zstandard.decompress(data), np.uint8)
-        return b
-
-    return kept(tag, make)
+    Neither they nor the broadcast's compressed bits stay with the worker: idle ones, of which an executor may have
+    several, would hold up to 64 MB each and as much again.
+    """
+    each = (1 << bits) // SHARDS // 8
+    b = np.zeros((ROWS, each * SHARDS), np.uint8)
+    for row, s, data in shared.value:
+        b[row, s * each : (s + 1) * each] = np.frombuffer(zstandard.decompress(data), np.uint8)
+    if getattr(shared, "_path", None):  # the next task reads it from there again
+        shared.__dict__.pop("_value", None)
+    return b
 
 
 def _hit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -162,14 +165,12 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
     rows itself and sends each distinct window once, with the place of a window that it saw once; buckets of hashes
     (96 bits) then tell which windows other tasks hold too. So a window's group has one entry a task, not one a copy.
     """
-    import uuid
-
-    tag = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def local(batches):
+        forget()
         held, total = [], 0
-        sketch_ = opened(tag, shared.value, bits)
+        sketch_ = opened(shared, bits)
 
         def out():
             a, b, doc, key, pos = (np.concatenate([h[k] for h in held]) for k in range(5))
@@ -213,6 +214,7 @@ def marks(docs: DataFrame, n: int, bits: int, parts: list[tuple[int, int, bytes]
                 held, total = [], 0
         if total:
             yield from out()
+        del sketch_
         tidy()
 
     def confirm(t: pa.Table) -> pa.Table:

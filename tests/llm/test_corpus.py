@@ -1,6 +1,7 @@
 """The corpus operators against brute force and on edge cases."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from driftloom.llm import chat, common, jaccard, language, lm, mixing, packing, quality, queries, rules, substrings, vectors
@@ -510,6 +514,39 @@ def test_near_copies_are_all_found(spark):
     assert [g.n_links for g in got] == want and sum(want) > 200
 
 
+def test_verification_is_one_python_step(spark, monkeypatch):
+    """Each Python step that a stage chains costs its executor one more worker for every task it runs at once."""
+    seen, whole = [], jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df, tag: (seen.append(df) if tag == "links" else None, whole(df, tag))[1])
+    base = text(100)
+    got = jaccard.join(spark.createDataFrame([(1, base), (1, base), (2, base + " a"), (3, base + " b")], "doc_id long, text string")).toPandas()
+    assert sorted(zip(got.doc_id, got.n_links, got.class_id)) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1)]
+    for df in seen:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == 2, plan  # one on each side of the shuffle: n-grams, links
+    assert seen
+
+
+def test_repeats_in_a_block_count_once():
+    """Across batches too: rows repeated in the input come one after another."""
+    names = ["part", "i", "j", "mine", "sub", "rep", "grams"]
+    batches = [pa.RecordBatch.from_arrays([*([pa.array([0] * len(r))] * 5), pa.array(r), pa.array([b"x"] * len(r))], names=names) for r in ([1, 1, 2], [2, 2], [], [2, 3], [1])]
+    assert [x for b in jaccard._once(iter(batches)) for x in b.column(5).to_pylist()] == [1, 2, 3, 1]
+
+
+def test_sketch_is_not_kept_by_workers(tmp_path):
+    """Nor is what it was unpacked from, if that can be read again."""
+    bits, want = 16, np.random.default_rng(1).integers(0, 256, (substrings.ROWS, (1 << 16) // 8)).astype(np.uint8)
+    parts = [(row, s, zstandard.compress(x.tobytes(), 1)) for row, r in enumerate(want) for s, x in enumerate(np.split(r, substrings.SHARDS))]
+    with (tmp_path / "sent").open("wb") as f:
+        pickle.dump(parts, f)
+    shared = Broadcast(path=str(tmp_path / "sent"))
+    common.forget()
+    for _ in range(2):
+        assert (substrings.opened(shared, bits) == want).all()
+        assert not common._slot and "_value" not in vars(shared)
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     base = text(200).split()
