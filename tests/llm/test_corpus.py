@@ -129,6 +129,26 @@ def test_rare_contexts_have_restaurants(spark, monkeypatch):
         assert got.score[got.held_out].sum() > 0.5 * got.base_score[got.held_out].sum()
 
 
+def test_every_context_and_customer_is_counted(spark, monkeypatch):
+    """However few contexts are broadcast and however small buckets and slices are."""
+    seen, models, settle, totals = [], [], lm.settle, lm._totals
+    monkeypatch.setattr(lm, "settle", lambda df, tag: (seen.append(settle(df, tag)), seen[-1])[1])
+    monkeypatch.setattr(lm, "_totals", lambda light, hot, plan: (models.append(hot), totals(light, hot, plan))[1])
+    for name, value in (("CONTEXTS", 3), ("HEAVY_SHARE", 0.03), ("BUCKET_BYTES", 4000), ("SLICE_BYTES", 8000)):
+        monkeypatch.setattr(lm, name, value)
+    r = np.random.default_rng(6)
+    texts_ = [" ".join(f"w{x}" for x in r.zipf(1.3, 40) % 5000) for _ in range(200)]
+    lm.score(spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "doc_id long, text string")).count()
+    train = Counter(w for k, t in enumerate(texts_) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*t.split(), None])
+    rows_ = seen[-1].toPandas()
+    near, far = rows_[(rows_.kind == 0) & (rows_.number >= 0)], rows_[rows_.kind == 2]
+    parts = [lm._unpack(d, *lm.RARE) for d in far.data]
+    assert models[0].n.sum() + near.c.sum() + sum(p[1].sum() for p in parts) == sum(train.values())
+    # contexts that only held-out texts have take part without a customer
+    held = {x for p in parts for x, n in zip(np.cumsum(p[0].astype(np.int64)).tolist(), p[1].tolist()) if n}
+    assert len(held) == len(train) - 3 and len(held) > 500
+
+
 def test_crowds_keep_customers():
     n = np.array([70, 100, 900])
     s = lm.Crowd(n, np.full(3, 0.5), np.random.default_rng(0))
